@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, quality_classifier, quality_rules
+from . import bpe, language_id, quality_classifier, quality_rules
 from .common import held_out
 
 
@@ -31,10 +32,22 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality_classifier.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return out.select(
+        "doc_id",
+        F.size("bpe.ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("bpe.ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2(F.col("bpe.decoded"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op6_quality_rules": op6_quality_rules,
     "op8_quality_classifier": op8_quality_classifier,
+    "op10_bpe_codec": op10_bpe_codec,
 }
 
 ORACLE_SQL: dict[str, str] = {}
