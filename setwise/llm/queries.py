@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, language_id, packing, quality_classifier, quality_rules
+from . import bpe, chat, exact_dedup, language_id, line_dedup, packing, quality_classifier, quality_rules
 from .common import held_out
 
 
@@ -21,6 +21,33 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score", "language.margin", "language.rejected")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.remove_boilerplate(docs).select("doc_id", "lines.*")
+
+
+OP2_SQL = """
+with lines as (
+  select doc_id, source, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents
+), trimmed as (
+  select *, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) as t from lines
+), shared as (
+  select t from trimmed where t <> '' group by t having count(distinct source) >= 10
+), marked as (
+  select m.*, m.t in (select t from shared) as is_shared from trimmed m
+), counted as (
+  select doc_id, count(*) filter (t <> '') as n_lines, count(*) filter (is_shared) as n_shared,
+    coalesce(sum(length(t)) filter (is_shared), 0) * 2 > coalesce(sum(length(t)), 0) as mostly_shared,
+    coalesce(string_agg(line, chr(10) order by pos) filter (not is_shared), '') as clean
+  from marked group by doc_id
+)
+select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_shared, 0) as n_shared,
+  case when mostly_shared then 0 else coalesce(n_shared, 0) end as n_removed, coalesce(mostly_shared, false) as mostly_shared,
+  case when d.text is null or coalesce(mostly_shared, false) or n_shared = 0 then d.text else clean end as text
+from documents d left join counted c on d.doc_id = c.doc_id
+"""
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -98,6 +125,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op1_language_id": op1_language_id,
     "op4_exact_dedup": op4_exact_dedup,
     "op6_quality_rules": op6_quality_rules,
@@ -108,6 +136,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
     "op4_exact_dedup": OP4_SQL,
     "op9_chat_formatting": OP9_SQL,
 }
