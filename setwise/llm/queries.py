@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, language_id, line_dedup, packing, quality_classifier, quality_rules, sharding
+from . import bpe, chat, exact_dedup, language_id, line_dedup, near_dedup, packing, quality_classifier, quality_rules, sharding
 from .common import held_out
 
 
@@ -63,6 +63,10 @@ from d window w as (partition by t)
 """
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_coverage(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quality.*")
 
@@ -133,6 +137,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_sharding": op3_sharding,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_near_dedup": op5_near_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_quality_classifier": op8_quality_classifier,
