@@ -83,7 +83,8 @@ def members(docs: DataFrame, needed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.list_(pa.int64()))], schema=_MEMBER)
 
     # rows that repeat as a whole share their keys: one of them is enough
-    once = _keyed(docs, "text").join(needed, ["row_key", "text_key"]).groupBy("row_key", "text_key", "cid", "fingerprint").agg(F.first("text").alias("text"))
+    # merged at every size: the needed rows grow with the input
+    once = _keyed(docs, "text").join(needed.hint("merge"), ["row_key", "text_key"]).groupBy("row_key", "text_key", "cid", "fingerprint").agg(F.first("text").alias("text"))
     return once.select("cid", "fingerprint", "text").mapInArrow(sketched, _MEMBER_DDL)
 
 
@@ -175,5 +176,5 @@ def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = near_components(docs.select("doc_id", "text"))
     gone = found.where(~F.col("kept")).select("row_key", "text_key").distinct()
     # the row travels as one struct, so that no column of its own can clash with the keys
-    left = _keyed(docs, F.struct(*columns).alias("whole_row")).join(gone, ["row_key", "text_key"], "left_anti")
+    left = _keyed(docs, F.struct(*columns).alias("whole_row")).join(gone.hint("merge"), ["row_key", "text_key"], "left_anti")
     return left.select("whole_row.*")
