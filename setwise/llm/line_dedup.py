@@ -71,7 +71,8 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text: str =
     key = F.xxhash64(F.col(text), *salt)
     found = docs.where(F.col(text).isNotNull()).select(key.alias("__key"), F.explode(_line_hashes(F.col(text))).alias("line"))
     hits = scratch.save(found.join(shared, "line").groupBy("__key").agg(F.collect_set("line").alias("__shared")), "hits")
-    joined = docs.withColumn("__key", key).join(hits, "__key", "left")
+    # merged at every size: the hits grow with the input
+    joined = docs.withColumn("__key", key).join(hits.hint("merge"), "__key", "left")
     lines = _lines(F.col(text))
     is_shared = lambda x: F.coalesce(F.array_contains(F.col("__shared"), _hash(x)), F.lit(False)) & (_trimmed(x) != "")
     chars = lambda kept: F.aggregate(F.filter(lines, kept), F.lit(0).cast("bigint"), lambda n, x: n + F.char_length(_trimmed(x)))
