@@ -22,12 +22,17 @@ from tokenizers import Tokenizer
 
 from .common import bound_batches
 
-#: Entries of a worker's word and fragment caches; a full cache is emptied.
-CACHE_WORDS, CACHE_FRAGMENTS = 200_000, 100_000
+#: Entries of a worker's word and pre-token caches; a full cache is emptied.
+CACHE_WORDS, CACHE_PRETOKENS = 400_000, 200_000
 
-#: The vocabulary's pre-token pattern, for lower-cased printable ASCII.
-_ASCII_PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-_PRINTABLE = re.compile(rb"[!-~]+")
+#: Little-endian int32 ids, and the decoded text in UTF-8.
+Coded = tuple[bytes, bytes]
+_EMPTY: Coded = (b"", b"")
+
+#: Words of printable ASCII and Latin-1 letters: normalisation only lower-cases them, character by character.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: The vocabulary's pre-token pattern, for such words in lower case.
+_PLAIN_PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
 class ForcedBoundaryCodec:
@@ -60,9 +65,10 @@ class ForcedBoundaryCodec:
         never = [f"{a}[{b}]" for a in small if (b := "".join(c for c in small if a + c not in self.inside))]
         #: Finds a forced boundary in a run of a-z.
         self.small_cut = re.compile("|".join(never) or "(?!)")
-        self.words: dict[bytes, tuple[bytes, bytes]] = {}
-        self.pretokens: dict[str, tuple[int, ...]] = {}
-        self.fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
+        #: Latin-1 letters as the characters that stand for their two bytes.
+        self.latin = {c: self._pretokens(chr(c))[0] for c in range(0xDF, 0x100) if chr(c).isalpha()}
+        self.words: dict[bytes, Coded] = {}
+        self.pretokens: dict[str, Coded] = {}
 
     def cuts(self, pretoken: str) -> list[str]:
         """The pre-token's fragments (its characters stand for bytes)."""
@@ -78,56 +84,58 @@ class ForcedBoundaryCodec:
         normal = self.whole.normalizer.normalize_str(piece) if self.whole.normalizer else piece
         return [p for p, _ in self.whole.pre_tokenizer.pre_tokenize_str(normal)]
 
-    def _fragment(self, fragment: str, last: bool) -> tuple[int, ...]:
-        key = (fragment, last)
-        found = self.fragments.get(key)
+    def _fragment(self, fragment: str, last: bool) -> list[int]:
+        return [t.id for t in (self.whole if last else self.inner).model.tokenize(fragment)]
+
+    def _pretoken(self, pretoken: str) -> Coded:
+        """The code of a pre-token, its characters standing for bytes."""
+        found = self.pretokens.get(pretoken)
         if found is None:
-            if len(self.fragments) >= CACHE_FRAGMENTS:
-                self.fragments.clear()
-            found = self.fragments[key] = tuple(t.id for t in (self.whole if last else self.inner).model.tokenize(fragment))
+            if len(self.pretokens) >= CACHE_PRETOKENS:
+                self.pretokens.clear()
+            if pretoken.isascii() and pretoken.isalpha() and not self.small_cut.search(pretoken):
+                ids = self._fragment(pretoken, True)
+            else:
+                parts = self.cuts(pretoken)
+                ids = [i for part in parts[:-1] for i in self._fragment(part, False)] + self._fragment(parts[-1], True)
+            found = struct.pack(f"<{len(ids)}i", *ids), " ".join([self.token_of[i] for i in ids]).encode()
+            if len(pretoken) <= 64:
+                self.pretokens[pretoken] = found
         return found
 
-    def _word(self, word: bytes) -> tuple[bytes, bytes]:
-        """(little-endian int32 ids, decoded UTF-8) of a run without ASCII white space."""
-        ids: list[int] = []
+    def _word(self, word: bytes) -> Coded:
+        """The code of a run without ASCII white space."""
         if word.isalpha():
-            ids.extend(self._pretoken(word.lower().decode("ascii")))
-        elif _PRINTABLE.fullmatch(word) and not any(m in word for m in self.marks):
-            for p in _ASCII_PRETOKENS.findall(word.lower().decode("ascii")):
-                ids.extend(self._pretoken(p))
+            return self._pretoken(word.lower().decode("ascii"))
+        text = word.decode("utf-8", "replace")
+        if _PLAIN.fullmatch(text) and not any(m in word for m in self.marks):
+            found = [self._pretoken(p.translate(self.latin)) for p in _PLAIN_PRETOKENS.findall(text.lower())]
         else:
-            text = word.decode("utf-8", "replace")
+            found = []
             for piece in self.special_split.split(text) if self.special_split else [text]:
                 if piece in self.special:
-                    ids.append(self.special[piece])
+                    found.append((struct.pack("<i", self.special[piece]), piece.encode()))
                 elif piece:
-                    for p in self._pretokens(piece):
-                        ids.extend(self._pretoken(p))
-        return struct.pack(f"<{len(ids)}i", *ids), " ".join([self.token_of[i] for i in ids]).encode()
-
-    def _pretoken(self, pretoken: str) -> tuple[int, ...]:
-        found = self.pretokens.get(pretoken)
-        if found is None:
-            if len(self.pretokens) >= CACHE_FRAGMENTS:
-                self.pretokens.clear()
-            parts = [pretoken] if pretoken.isascii() and pretoken.isalpha() and not self.small_cut.search(pretoken) else self.cuts(pretoken)
-            ids = [i for part in parts[:-1] for i in self._fragment(part, False)]
-            found = self.pretokens[pretoken] = (*ids, *self._fragment(parts[-1], True))
-        return found
+                    found += [self._pretoken(p) for p in self._pretokens(piece)]
+        if len(found) == 1:
+            return found[0]
+        return b"".join([v[0] for v in found]), b" ".join([v[1] for v in found])
 
-    def encode_raw(self, text: str | None) -> tuple[bytes, bytes]:
-        """(ids as int32 bytes, decoded text in UTF-8); null counts as empty."""
-        cache, found = self.words, []
-        for w in (text or "").encode("utf-8", "surrogatepass").split():
-            v = cache.get(w)
-            if v is None:
-                if len(cache) >= CACHE_WORDS:
-                    cache.clear()
-                v = self._word(w)
-                if len(w) <= 64:
-                    cache[w] = v
-            if v[0]:
-                found.append(v)
+    def encode_raw(self, text: str | None) -> Coded:
+        """The code of a whole text; null counts as empty."""
+        cache = self.words
+        words = (text or "").encode("utf-8", "surrogatepass").split()
+        found = list(map(cache.get, words))
+        if None in found:
+            for i, w in enumerate(words):
+                if found[i] is None:
+                    v = found[i] = self._word(w)
+                    if len(w) <= 64:
+                        cache[w] = v
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
+        if _EMPTY in found:
+            found = [v for v in found if v[0]]
         return b"".join([v[0] for v in found]), b" ".join([v[1] for v in found])
 
     def encode(self, text: str | None) -> list[int]:
@@ -160,6 +168,6 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", into: str = "b
             np.cumsum([len(p[0]) // 4 for p in pairs], out=ends[1:])
             values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join([p[0] for p in pairs]))])
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values)
-            yield pa.StructArray.from_arrays([ids, pa.array([p[1].decode() for p in pairs], pa.string())], names=["ids", "decoded"])
+            yield pa.StructArray.from_arrays([ids, pa.array([p[1] for p in pairs], pa.binary()).cast(pa.string())], names=["ids", "decoded"])
 
     return docs.withColumn(into, encoded(F.col(text)))
