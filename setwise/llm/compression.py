@@ -9,6 +9,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Compressors a worker keeps ready; with more labels than this they are rebuilt as needed.
+MOST_READY = 16
 _ready: dict[tuple, zstandard.ZstdCompressor] = {}
 
 
@@ -28,7 +30,7 @@ class DictionaryModel:
         content = self.contents[label]
         key = (hashlib.md5(content).hexdigest(), self.level) if label not in self.keys else (self.keys[label], self.level)
         if key not in _ready:
-            if len(_ready) > 4096:
+            if len(_ready) >= MOST_READY:
                 _ready.clear()
             if len(content) >= 8:
                 data = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)

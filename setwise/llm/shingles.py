@@ -12,7 +12,8 @@ BANDS, ROWS = 32, 4
 #: Bits of a parity bitmap, and the most shingles that are folded into one: larger sets are sampled.
 BITS, SAMPLE = 1024, 1024
 
-_WORD_CACHE = 500_000
+#: Words whose hashes a worker remembers; a full cache is emptied.
+_WORD_CACHE = 100_000
 _rng = np.random.default_rng(20240229)
 _POSITION = _rng.integers(1, 2**63, WIDTH + 1, dtype=np.uint64) | np.uint64(1)
 _SLOPE = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -53,7 +54,7 @@ def shingle_set(text: str | None) -> np.ndarray:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     width = min(WIDTH, len(words))
-    out = np.full(len(words) - width + 1, _POSITION[WIDTH] * np.uint64(width))
+    out = np.full(len(words) - width + 1, int(_POSITION[WIDTH]) * width % 2**64, np.uint64)
     for i in range(width):
         out += h[i : len(out) + i] * _POSITION[i]
     return np.unique(mixed(out))
