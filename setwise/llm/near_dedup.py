@@ -4,8 +4,10 @@
    Texts with equal sets form one class; from here on classes count, so copies cost nothing more.
 2. Classes that share a band are candidates. Each is first compared with its bucket's representative only.
 3. Candidates are judged by odd sketches: parity bitmaps of the classes' MinHash samples, whose XOR population
-   count gives the size of the samples' symmetric difference. A class of up to 1024 shingles is its own sample.
-   Pairs that come out well under the threshold are dropped; the others are confirmed on their full sets.
+   count gives the size of the samples' symmetric difference. A class of up to 1024 shingles is its own sample;
+   then the count never exceeds the difference, so a count over a seventh of both sizes rules a link out for
+   certain. Sampled pairs are dropped when they come out well under the threshold. The others are confirmed
+   on their full sets.
 4. Links give components. What is still open are pairs of one bucket in different components: these are
    joined with the sketch comparison as the join's condition, confirmed, and the components are finished.
 
@@ -27,8 +29,8 @@ from .components import components
 
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: How far under the threshold a sketch estimate may be (six standard errors and more), without and with sampling.
-SLACK, SAMPLED_SLACK = 0.06, 0.12
+#: How far under the threshold the estimate of a sampled pair may be: more than six standard errors.
+SAMPLED_SLACK = 0.12
 
 _WORDS = sh.BITS // 64
 _FINE, _COARSE = [f"f{i}" for i in range(_WORDS)], [f"c{i}" for i in range(_WORDS)]
@@ -59,33 +61,34 @@ def signatures(docs: DataFrame) -> DataFrame:
     return made.select("doc_id", "row_key", "text_key", F.col("s.n").alias("n_shingles"), F.col("s.fingerprint").alias("fingerprint"), F.col("s.bands").alias("bands"))
 
 
-_MEMBER = pa.schema([("cid", pa.int64()), *[(c, pa.int64()) for c in SKETCH], ("shingles", pa.list_(pa.int64()))])
-_MEMBER_DDL = ", ".join(["cid bigint", *[f"{c} bigint" for c in SKETCH], "shingles array<bigint>"])
+_FIELDS = [*[(c, pa.int64()) for c in SKETCH], ("shingles", pa.list_(pa.int64()))]
+_MEMBER_DDL = "struct<" + ",".join([*[f"{c}:bigint" for c in SKETCH], "shingles:array<bigint>"]) + ">"
 
 
 def members(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """Sketches and full sets of the classes in ``needed`` (row_key, text_key, cid, fingerprint), one row a class."""
-
-    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[list[int]] = []
-            sets = []
-            for cid, expected, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+    """Sketches and full sets of the classes in ``needed`` (row_key, text_key, cid, fingerprint), one row a class, and
+    rows of nulls for others that have the same keys."""
+
+    @F.arrow_udf(_MEMBER_DDL)
+    def sketched(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for prints, texts in batches:
+            columns: list[list] = [[] for _ in _FIELDS]
+            for expected, text in zip(prints.to_pylist(), texts):
                 s = sh.shingle_set(text.as_py())
-                if sh.fingerprint(s) != expected:  # another row with the same key
-                    continue
-                level = sh.level_of(len(s))
-                fine, nf = sh.odd_sketch(s, level)
-                coarse, nc = sh.odd_sketch(s, level + 1)
-                rows.append([cid, len(s), level, nf, nc, *fine.tolist(), *coarse.tolist()])
-                sets.append(s.view(np.int64))
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * (1 + len(SKETCH))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.list_(pa.int64()))], schema=_MEMBER)
+                if sh.fingerprint(s) != expected:  # another row with the same keys
+                    row = [None] * len(_FIELDS)
+                else:
+                    level = sh.level_of(len(s))
+                    (fine, nf), (coarse, nc) = sh.odd_sketch(s, level), sh.odd_sketch(s, level + 1)
+                    row = [len(s), level, nf, nc, *fine.tolist(), *coarse.tolist(), s.view(np.int64)]
+                for column, value in zip(columns, row):
+                    column.append(value)
+            yield pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, _FIELDS)], names=[n for n, _ in _FIELDS])
 
     # rows that repeat as a whole share their keys: one of them is enough
     # merged at every size: the needed rows grow with the input
     once = _keyed(docs, "text").join(needed.hint("merge"), ["row_key", "text_key"]).groupBy("row_key", "text_key", "cid", "fingerprint").agg(F.first("text").alias("text"))
-    return once.select("cid", "fingerprint", "text").mapInArrow(sketched, _MEMBER_DDL)
+    return once.select("cid", sketched("fingerprint", "text").alias("m")).select("cid", "m.*")
 
 
 def similar_enough(a: str, b: str) -> Column:
@@ -103,9 +106,10 @@ def similar_enough(a: str, b: str) -> Column:
     left = F.greatest(F.lit(1.0) - F.lit(2.0) * flips / F.lit(float(sh.BITS)), F.lit(1e-9))
     differ = F.log(left) / F.log(F.lit(1.0 - 2.0 / sh.BITS))
     estimate = (total - differ) / (total + differ)
-    slack = F.when(same & (col(a, "level") == 0), F.lit(SLACK)).otherwise(F.lit(SAMPLED_SLACK))
+    # unsampled: the difference is at least `flips`, and a link's is at most (100 - p) / (100 + p) of both sizes
+    possible = F.when(same & (col(a, "level") == 0), (100 + PERCENT) * flips <= (100 - PERCENT) * total).otherwise(estimate >= F.lit(PERCENT / 100.0 - SAMPLED_SLACK))
     sizes = F.lit(100) * F.least(col(a, "n"), col(b, "n")) >= F.lit(PERCENT) * F.greatest(col(a, "n"), col(b, "n"))
-    return sizes & (estimate >= F.lit(PERCENT / 100.0) - slack)
+    return sizes & possible
 
 
 def _sided(sketches: DataFrame, side: str, key: str) -> DataFrame:
@@ -138,7 +142,7 @@ def near_components(docs: DataFrame) -> DataFrame:
     shared = scratch.save(banded.groupBy("bucket").agg(F.min("cid").alias("head"), F.count("*").alias("size")).where("size > 1").select("bucket", "head"), "buckets")
     inside = scratch.save(banded.join(shared, "bucket"), "inside")
     needed = classes.select("cid", "fingerprint", "row.row_key", "row.text_key").join(inside.select("cid").distinct(), "cid")
-    sets = scratch.save(members(docs, needed), "members")
+    sets = scratch.save(members(docs, needed), "members").where("n is not null")
     sketches = sets.select("cid", *SKETCH)
 
     stars = inside.where("cid <> head").select(F.col("cid").alias("a"), F.col("head").alias("b")).distinct()
@@ -149,10 +153,13 @@ def near_components(docs: DataFrame) -> DataFrame:
     labelled = inside.select("bucket", "cid").join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     labelled = scratch.save(labelled, "labelled")
     still_open = scratch.save(labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket"), "open")
-    left = scratch.save(labelled.join(still_open, "bucket").join(sketches, "cid"), "open-members")
-    one = left.select("bucket", F.col("cid").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"a_{c}") for c in SKETCH])
-    two = left.select("bucket", F.col("cid").alias("b"), F.col("component").alias("cb"), *[F.col(c).alias(f"b_{c}") for c in SKETCH])
-    rest = one.join(two, (one["bucket"] == two["bucket"]) & (F.col("ca") < F.col("cb")) & similar_enough("a_", "b_")).select("a", "b").distinct()
+    left = scratch.save(labelled.join(still_open, "bucket").join(sketches, "cid").join(classes.select("cid", "bands"), "cid"), "open-members")
+    columns = [*SKETCH, "bands"]
+    one = left.select("bucket", F.col("cid").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"a_{c}") for c in columns])
+    two = left.select(F.col("bucket").alias("b_bucket"), F.col("cid").alias("b"), F.col("component").alias("cb"), *[F.col(c).alias(f"b_{c}") for c in columns])
+    # every bucket that two components share is open, so the first shared one can speak for the pair
+    first = F.element_at(F.filter(F.zip_with("a_bands", "b_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1)
+    rest = one.join(two, (F.col("bucket") == F.col("b_bucket")) & (F.col("ca") < F.col("cb")) & similar_enough("a_", "b_") & (first == F.col("bucket"))).select("a", "b")
     more = scratch.save(confirmed(scratch.save(rest, "rest-pairs"), sets), "rest-links")
     if more.take(1):
         joined = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
