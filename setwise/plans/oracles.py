@@ -41,6 +41,7 @@ CTES: dict[str, str] = {
     "qi": "select qid, item from (select qid, item, row_number() over (partition by qid order by md5(concat_ws('|', 'q', qid, item))) as rn from items, range(1, 21) t(qid)) where rn <= 3 + qid % 10",
     "q": "select qid, (1 + qid % 3)::int as threshold, count(*)::int as asked from qi group by qid",
     "truth": "select q.qid, q.threshold, coalesce(h.hits, 0) as true_count, (select count(*) from users) as users from q left join (select qid, count(*) as hits from (select qi.qid, uid, count(*) as c from qi join bi using (item) group by qi.qid, uid) x join q using (qid) where c >= threshold group by qid) h using (qid)",
+    "n_users": "select count(*) as nu from users",
     "ranked": f"select uid, row_number() over (order by {_d('cohort', 'uid')}, uid) as rank from users",
     "cohort": f"""select uid, case when i >= 0 then 'tree' else 'underlying' end as role, (case when i >= 0 then block end)::int as block_id,
       case when i >= 0 then i - base * block + 1 else rank end as pos, case when i < 0 then first_part when block < last then base else rest - base * last end as block_size
@@ -128,12 +129,13 @@ CTES |= {
     "uni": "select qid, node_u, node_v, p_uv, threshold, item, coalesce(p, 0) as p from couples join pasked using (qid) left join p using (item) where node_id = node_u or node_id = node_v",
     "uv_pairs": "select qid, node_u, node_v, item_a, item_b, sum(freq) as freq from (select qid, node_u, node_v, item_a, item_b, freq from couples join pair_freq on node_id in (node_u, node_v) where a is not null union all select qid, node_u, node_v, item_a, item_b, freq from crossed) group by all",
     "uv_tail": "select *, (threshold - 0.5 - mu) / sqrt(var) as z from (select m.*, greatest(1e-9, v + 2 * coalesce(cov, 0)) as var from (select qid, node_u, node_v, threshold, p_uv, count(*) as n, sum(p) as mu, sum(p * (1 - p)) as v from uni group by all) m left join (select x.qid, x.node_u, x.node_v, sum(freq - x.p * y.p) as cov from uni x join uni y on x.qid = y.qid and x.node_u = y.node_u and x.node_v = y.node_v and x.item < y.item join uv_pairs g on g.qid = x.qid and g.node_u = x.node_u and g.node_v = x.node_v and g.item_a = x.item and g.item_b = y.item group by all) using (qid, node_u, node_v)) where n >= threshold",
-    "cross_part": f"select qid, sum(greatest(0, least(1, t))) as f_cross, sum((t / greatest(p_uv, 1e-9)) * (t / greatest(p_uv, 1e-9)) * p_uv * (1 - p_uv) / (select count(*) from users)) as v_cross from (select *, {ccdf_sql('z')} as t from uv_tail) group by qid",
-    "global_": "select qid, item_a, item_b, sum(freq) as freq from (select s.qid, item_a, item_b, freq from (select distinct qid, node_id from pasked) s join pair_freq f using (node_id) where a is not null and exists (select 1 from pasked x where x.qid = s.qid and x.item = item_a) and exists (select 1 from pasked x where x.qid = s.qid and x.item = item_b) union all select qid, item_a, item_b, freq from crossed) group by all",
+    "cross_part": f"select qid, sum(greatest(0, least(1, t))) as f_cross, sum((t / greatest(p_uv, 1e-9)) * (t / greatest(p_uv, 1e-9)) * p_uv * (1 - p_uv) / nu) as v_cross from (select *, {ccdf_sql('z')} as t from uv_tail), n_users group by qid",
+    "global_": "select qid, item_a, item_b, sum(freq) as freq from (select s.qid, item_a, item_b, freq from (select distinct qid, node_id from pasked) s join pair_freq f using (node_id) join (select distinct qid, item as item_a from pasked) using (qid, item_a) join (select distinct qid, item as item_b from pasked) using (qid, item_b) union all select qid, item_a, item_b, freq from crossed) group by all",
     "pa": "select distinct qid, threshold, item, coalesce(p, 0) as p from pasked left join p using (item)",
     "best": f"select qid, greatest(0, least(1, {ccdf_sql('z')})) as best from (select *, (threshold - 0.5 - mu) / sqrt(var) as z from (select m.*, greatest(1e-9, v + 2 * coalesce(cov, 0)) as var from (select qid, threshold, sum(p) as mu, sum(p * (1 - p)) as v from pa group by all) m left join (select x.qid, sum(freq - x.p * y.p) as cov from pa x join pa y on x.qid = y.qid and x.item < y.item join global_ g on g.qid = x.qid and g.item_a = x.item and g.item_b = y.item group by x.qid) using (qid)))",
-    "partial_rows": "select qid, f_intra + coalesce(f_cross, 0) as mean, v_intra + coalesce(v_cross, 0) as v, greatest(0, coalesce(best, 0) - f_intra - coalesce(f_cross, 0)) as f0 from intra left join cross_part using (qid) left join best using (qid)",
-    "partial_": "select qid, greatest(0, least(1, mean + f0)) as f, case when v + f0 * (1 - f0) / (select count(*) from users) <= 0 then 1e-12 else v + f0 * (1 - f0) / (select count(*) from users) end as var from partial_rows",
+    "parts_": "select qid, f_intra, v_intra, 0e0 as fc, 0e0 as vc, 0e0 as b from intra union all select qid, 0e0, 0e0, f_cross, v_cross, 0e0 from cross_part union all select qid, 0e0, 0e0, 0e0, 0e0, best from best",
+    "partial_rows": "select qid, f_intra + fc as mean, v_intra + vc as v, greatest(0, b - f_intra - fc) as f0 from (select qid, sum(f_intra) as f_intra, sum(v_intra) as v_intra, sum(fc) as fc, sum(vc) as vc, sum(b) as b from parts_ group by qid)",
+    "partial_": "select qid, greatest(0, least(1, mean + f0)) as f, case when v0 <= 0 then 1e-12 else v0 end as var from (select *, v + f0 * (1 - f0) / nu as v0 from partial_rows, n_users)",
     "final_rows": "select q.qid, q.threshold, fu.f as f_full, fu.var as var_full, pa_.f as f_partial, pa_.var as var_partial from q left join full_ fu using (qid) left join partial_ pa_ using (qid)",
     "answers_": "select qid, f_full, var_full, f_partial, var_partial, case when threshold <= 0 then 1 else greatest(0, least(1, case when coalesce(var_full, 0) <= 0 then coalesce(f_partial, f_full, 0) when coalesce(var_partial, 0) <= 0 then f_full else (var_partial * f_full + var_full * f_partial) / (var_full + var_partial) end)) end as f_hat from final_rows",
 }
