@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from setwise import catalog
@@ -24,7 +25,7 @@ def duck():
 def canonical(frame):
     def one(v):
         v = v.item() if hasattr(v, "item") else v
-        if v is None or isinstance(v, float) and math.isnan(v):
+        if v is None or v is pd.NA or isinstance(v, float) and math.isnan(v):
             return "null"
         return f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
