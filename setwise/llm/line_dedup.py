@@ -2,8 +2,8 @@
 
 Each line's hash gets a HyperLogLog sketch of the sites it occurs on, merged by aggregation. Lines clearly
 above ``min_sites`` are boilerplate, lines clearly below are not; those near the threshold get an exact
-distinct count. Boilerplate lines are then taken out of every text, unless they are most of a text: such a
-text is a copy of others, which near-dedup has to judge.
+distinct count. Boilerplate lines are then taken out of the texts. The query, as its SQL defines it, leaves
+texts alone that are mostly boilerplate; the pipeline leaves those alone that have no line of their own.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ MIN_SITES = 10
 SKETCH_LG_K = 12
 #: Standard errors around the threshold inside which sites are counted exactly.
 NEAR_ERRORS = 4.0
-#: Boilerplate goes while it is at most this share of a text's line characters.
+#: Boilerplate goes while it is at most this share of a text's line characters: the SQL's definition.
 MAX_SHARE = 0.5
 #: Fixed value: characters trimmed from a line's ends before it is compared.
 EDGE = " \t\r\x0b\x0c"
@@ -56,9 +56,11 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "
     return scratch.save(candidates.where(F.col("sites") > high).select("line").unionByName(exact.select("line")), "boilerplate")
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", into: str = "lines") -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", into: str = "lines", max_share: float | None = MAX_SHARE) -> DataFrame:
     """Add the struct column ``into``: n_lines, n_shared, n_removed (long), mostly_shared, text (without boilerplate).
 
+    A text stays whole, and is ``mostly_shared``, where boilerplate is over ``max_share`` of its line characters;
+    with None only where every line that isn't blank is boilerplate, so that nothing of its own would be left.
     Null texts stay null with no lines; empty texts have no line that counts. Blank lines stay. Ties don't
     arise: a line goes everywhere or nowhere. Repeated rows and copies are treated alike, null ids too.
     Other columns pass through.
@@ -76,15 +78,19 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text: str =
     lines = _lines(F.col(text))
     is_shared = lambda x: F.coalesce(F.array_contains(F.col("__shared"), _hash(x)), F.lit(False)) & (_trimmed(x) != "")
     chars = lambda kept: F.aggregate(F.filter(lines, kept), F.lit(0).cast("bigint"), lambda n, x: n + F.char_length(_trimmed(x)))
+    n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(F.filter(lines, lambda x: _trimmed(x) != ""))).cast("long")
+    if max_share is None:
+        mostly = F.size(F.filter(lines, is_shared)) == n_lines
+    else:
+        mostly = chars(is_shared) > max_share * chars(lambda x: F.lit(True))
     counted = joined.withColumn(
         "__n",
         F.when(F.col("__shared").isNotNull(), F.struct(
             F.size(F.filter(lines, is_shared)).cast("long").alias("n_shared"),
-            (chars(is_shared) > MAX_SHARE * chars(lambda x: F.lit(True))).alias("mostly"),
+            mostly.alias("mostly"),
         )),
     )
     go = F.coalesce(~F.col("__n.mostly"), F.lit(False))
-    n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(F.filter(lines, lambda x: _trimmed(x) != ""))).cast("long")
     n_shared = F.coalesce(F.col("__n.n_shared"), F.lit(0).cast("long"))
     cleaned = F.when(go, F.array_join(F.filter(lines, lambda x: ~is_shared(x)), "\n")).otherwise(F.col(text))
     out = F.struct(
@@ -95,9 +101,10 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text: str =
 
 
 def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: boilerplate lines go from the texts; every row stays. Columns unchanged, n_chars follows the text."""
+    """Pipeline stage: boilerplate lines go from the texts, whatever their share; every row stays, and so does a
+    text without a line of its own, a copy that near-dedup judges. Columns unchanged, n_chars follows the text."""
     columns = docs.columns
-    done = remove_boilerplate(docs, into="__lines").withColumn("text", F.col("__lines.text"))
+    done = remove_boilerplate(docs, into="__lines", max_share=None).withColumn("text", F.col("__lines.text"))
     if "n_chars" in columns:
         done = done.withColumn("n_chars", F.when(F.col("__lines.n_removed") > 0, F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return done.select(*columns)

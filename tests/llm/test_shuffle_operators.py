@@ -83,6 +83,17 @@ def test_line_dedup_on_odd_rows(odd_docs, no_docs):
     assert line_dedup.remove_boilerplate(no_docs).count() == 0
 
 
+def test_line_stage_removes_boilerplate_of_any_share(spark):
+    """All but texts without a line of their own lose it, be it most of the text."""
+    licence = "\n".join(f"clause {i} of a licence found on every site " + "and so on " * 20 for i in range(3))
+    rows = [(i, f"own words of page {i}\n{licence}", f"s{i}", -1) for i in range(12)]  # about 97% boilerplate
+    rows += [(50, licence, "s1", -1), (51, f"\n{licence}\n ", "s2", -1), (52, "own only", "s3", -1), (53, None, "s4", None), (54, f"{licence}\n{licence}\nx", None, -1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in line_dedup.line_stage(spark, docs, "").collect()}
+    want = {i: (f"own words of page {i}", len(f"own words of page {i}")) for i in range(12)}
+    assert got == want | {50: (licence, -1), 51: (f"\n{licence}\n ", -1), 52: ("own only", -1), 53: (None, None), 54: ("x", 1)}
+
+
 # sharding
 
 
