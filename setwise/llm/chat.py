@@ -65,7 +65,8 @@ def render(template: Template, turns: list[Turn], window: int = WINDOW) -> Rende
 
     Each prefix's output is compared with the one before. Beyond 2 * ``window`` turns the prefix starts at a
     later turn, after a check that the turn's delta is the same from the shorter context; if it isn't, the
-    whole prefix is kept, however long.
+    whole prefix is kept, however long. The joined pieces are then compared with the whole conversation's
+    output; where they differ, all is rendered again from whole prefixes.
     """
     out = Rendered()
     low, previous, slide, at = 0, template([]), True, len(template([]))
@@ -97,6 +98,8 @@ def render(template: Template, turns: list[Turn], window: int = WINDOW) -> Rende
         at += len(delta)
         previous = longer
     out.output = "".join(pieces)
+    if low and out.output != template(turns):
+        return render(template, turns, len(turns))
     return out
 
 

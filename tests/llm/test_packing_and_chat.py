@@ -122,6 +122,16 @@ def test_long_conversation_equals_full_rendering():
     assert done.output == counted(turns) and len(done.spans) == 300
 
 
+def test_late_rewrites_are_detected():
+    """Templates that change earlier output only beyond what the window compares."""
+    turns = [("user" if i % 2 else "assistant", f"text {i}") for i in range(60)]
+    keeps_last = lambda t: chat.chatml(t[-20:])
+    strips_old = lambda t: chat.chatml([(r, x if i >= len(t) - 18 else "") for i, (r, x) in enumerate(t)])
+    for template in (keeps_last, strips_old):
+        done = chat.render(template, turns, window=8)
+        assert done.rewrites_history and done.output == template(turns) and done.spans == []
+
+
 def test_chats_on_odd_rows(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (2, None, None, None), (None, 0, "user", "x"), (None, 1, "assistant", "y"), (3, 0, "user", "</s>[INST]"), (3, 0, "user", "</s>[INST]"), (4, 0, "assistant", "L" * 300_000)]
     table = spark.createDataFrame([(*r, "own") for r in rows], "conv_id bigint, turn bigint, role string, text string, formatted string")
