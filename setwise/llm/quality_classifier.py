@@ -75,11 +75,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label:
     per_class = DICTIONARY_TEXTS + CALIBRATION_TEXTS
     sample = bounded_sample(usable, "__label", F.col("doc_id"), ["doc_id"], per_class)
     sample = sample.withColumn("role", F.when(F.col("rank") <= F.least(F.lit(DICTIONARY_TEXTS), F.ceil(0.7 * F.col("n"))), "dictionary").otherwise("calibration"))
-    picked = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) > 0).join(F.broadcast(sample), "doc_id")  # 2 * per_class rows at most
+    picked = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) > 0).join(F.broadcast(sample), "doc_id")  # 2 * per_class ids at most
     contents: dict[str, list[bytes]] = {}
     counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.max("n").alias("n")).collect()}
-    shorts = picked.where("role = 'dictionary'").select("label", "rank", F.substring("text", 1, TEXT_CHARS).alias("start")).orderBy("label", "rank", "start")
-    for row in shorts.limit(2 * DICTIONARY_TEXTS).collect():
+    shorts = picked.where("role = 'dictionary'").groupBy("label", "rank").agg(F.min(F.substring("text", 1, TEXT_CHARS)).alias("start")).orderBy("label", "rank")
+    for row in shorts.collect():  # DICTIONARY_TEXTS a class at most: repeated ids give one text, the first by order
         contents.setdefault(row["label"], []).append(row["start"].encode("utf-8", "surrogatepass"))
     sizes = model_of({k: b"\n".join(v)[:DICTIONARY_BYTES] for k, v in sorted(contents.items())})
     prior = counts.get("1", 0) / sum(counts.values()) if counts else 0.5
@@ -92,7 +92,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label:
         for batch in batches:
             yield pa.array([model.feature(t.as_py()) for t in batch], pa.float64())
 
-    rows = picked.where("role = 'calibration'").select("label", features("text").alias("x")).collect()  # 2 * CALIBRATION_TEXTS ids at most
+    texts = picked.where("role = 'calibration'").groupBy("label", "rank").agg(F.min("text").alias("text"))
+    rows = texts.select("label", features("text").alias("x")).collect()  # 2 * per_class rows at most
     y = np.array([int(r["label"]) for r in rows], float)
     x = np.array([r["x"] for r in rows], float)
     if len(set(y)) < 2:

@@ -119,6 +119,17 @@ def test_classifier_holds_out_and_separates(labelled, no_docs):
     assert model.score(None) == model.score("") == model.prior
 
 
+def test_classifier_learns_both_classes_from_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(quality_classifier, "DICTIONARY_TEXTS", 10)
+    monkeypatch.setattr(quality_classifier, "CALIBRATION_TEXTS", 10)
+    rows = [(i, prose(i, FR if i % 2 else EN, 30)) for i in range(80)]
+    docs = spark.createDataFrame(rows + rows + [(0, "hot " * 9)] * 50, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id bigint, quality int")
+    model = quality_classifier.fit(docs, labels)
+    assert set(model.sizes.contents) == {"0", "1"} and {len(v.split(b"\n")) for v in model.sizes.contents.values()} == {10}
+    assert model.score(prose(901, FR, 30)) > 0.5 > model.score(prose(902, EN, 30))
+
+
 def test_classifier_without_labels_or_one_class(labelled, no_docs, odd_docs):
     docs, labels = labelled
     none = quality_classifier.fit(docs, labels.where("false"))
