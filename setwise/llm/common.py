@@ -40,18 +40,29 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+_written: dict[int, list[tuple[SparkSession, str]]] = {}
+
+
+def _remove_all() -> None:
+    for spark, path in [x for each in _written.values() for x in each]:
+        _remove_quietly(spark, path)
+
+
+atexit.register(_remove_all)
+
+
 class Scratch:
     """Tables written once under the shared folder: they cut lineage and outlive lost executors.
 
-    ``save`` writes and rereads; ``drop`` removes a table nothing needs any more. What is left goes when
-    the application ends.
+    ``save`` writes and rereads; ``drop`` removes a table that nothing needs any more, ``clear`` all of them.
+    What a result still reads goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/scratch-{name}-{uuid.uuid4().hex}"
         self._count = 0
-        atexit.register(_remove_quietly, spark, self.root)
+        _written.setdefault(id(spark), []).append((spark, self.root))
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = f"{self.root}/{self._count:03d}-{name}"
@@ -61,8 +72,13 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        _remove(self.spark, df._scratch_path)
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            _remove_quietly(self.spark, table._scratch_path)
+
+    def clear(self) -> None:
+        _remove_quietly(self.spark, self.root)
+        _written[id(self.spark)].remove((self.spark, self.root))
 
 
 def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:

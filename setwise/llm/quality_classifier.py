@@ -15,11 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
-from .compression import DictionaryModel, bounded_sample, model_of
+from .common import Scratch, bound_batches
+from .compression import DictionaryModel, bounded_sample, excerpt, model_of
 
-#: Labelled texts a class for the dictionary, characters of each, bytes of a dictionary, texts a class for calibration.
-DICTIONARY_TEXTS, TEXT_CHARS, DICTIONARY_BYTES, CALIBRATION_TEXTS = 1400, 400, 524_288, 1400
+#: The bounds of the fit: labelled texts a class for the dictionary, characters that each gives (whole texts up to
+#: that length, pieces from all over longer ones), and labelled texts a class for calibration, scored whole.
+DICTIONARY_TEXTS, TEXT_CHARS, CALIBRATION_TEXTS = 1400, 400, 1400
 THRESHOLD = 0.3
 
 
@@ -30,19 +31,22 @@ class QualityModel:
     intercept: float
     prior: float
 
-    def feature(self, text: str | None) -> float | None:
+    def features(self, texts: list[str | None]) -> list[float | None]:
         """(bad size - good size) / bytes; None where a text is empty or a class has no example."""
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        if not raw or len(self.sizes.contents) < 2:
-            return None
-        size = self.sizes.sizes(raw)
-        return (size["1"] - size["0"]) / -len(raw)
+        raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        known = [raw for raw in raws if raw]
+        if not known or len(self.sizes.contents) < 2:
+            return [None] * len(raws)
+        sizes = self.sizes.sizes(known)
+        found = iter([(bad - good) / len(raw) for bad, good, raw in zip(sizes["0"], sizes["1"], known)])
+        return [next(found) if raw else None for raw in raws]
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        line = lambda x: 1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, self.slope * x + self.intercept))))
+        return [self.prior if x is None else line(x) for x in self.features(texts)]
 
     def score(self, text: str | None) -> float:
-        x = self.feature(text)
-        if x is None:
-            return self.prior
-        return 1.0 / (1.0 + math.exp(-max(-700.0, min(700.0, self.slope * x + self.intercept))))
+        return self.scores([text])[0]
 
 
 def logistic_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 100) -> tuple[float, float]:
@@ -66,34 +70,49 @@ def logistic_fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label: str = "quality") -> QualityModel:
     """Learn from labels whose ``doc_id`` satisfies ``learn``; labels other than 0 and 1 and null ids are left out.
 
-    The sample is drawn from the labels, so only its texts (a bounded number) are looked up. With one class
-    or none the score is the prior (0.5 without labels).
+    The sample is drawn from the labels' ids, each once a class, and its texts (a bounded number a class) are
+    looked up once; of rows that repeat an id the least text counts, so repeated documents and labels change
+    nothing. With one class or none the score is the prior (0.5 without labels).
     """
     bound_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "quality-fit")
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (F.lit(True) if learn is None else learn))
     usable = usable.select("doc_id", F.col(label).cast("int").cast("string").alias("__label"))
-    per_class = DICTIONARY_TEXTS + CALIBRATION_TEXTS
-    sample = bounded_sample(usable, "__label", F.col("doc_id"), ["doc_id"], per_class)
-    sample = sample.withColumn("role", F.when(F.col("rank") <= F.least(F.lit(DICTIONARY_TEXTS), F.ceil(0.7 * F.col("n"))), "dictionary").otherwise("calibration"))
-    picked = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) > 0).join(F.broadcast(sample), "doc_id")  # 2 * per_class ids at most
-    contents: dict[str, list[bytes]] = {}
-    counts = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.max("n").alias("n")).collect()}
-    shorts = picked.where("role = 'dictionary'").groupBy("label", "rank").agg(F.min(F.substring("text", 1, TEXT_CHARS)).alias("start")).orderBy("label", "rank")
-    for row in shorts.collect():  # DICTIONARY_TEXTS a class at most: repeated ids give one text, the first by order
-        contents.setdefault(row["label"], []).append(row["start"].encode("utf-8", "surrogatepass"))
-    sizes = model_of({k: b"\n".join(v)[:DICTIONARY_BYTES] for k, v in sorted(contents.items())})
+    sample, counts = bounded_sample(scratch, usable, "__label", F.col("doc_id"), ["doc_id"], DICTIONARY_TEXTS + CALIBRATION_TEXTS)
+    texts = docs.select("doc_id", "text").where(F.length("text") > 0)
+    found = texts.join(F.broadcast(sample), "doc_id").groupBy("label", "rank").agg(F.min("text").alias("text"))  # the bounds above, twice
+    found = scratch.save(found, "texts")
+
+    @F.arrow_udf("string")
+    def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([excerpt(t.as_py(), TEXT_CHARS) for t in batch], pa.string())
+
+    ranks: dict[str, list[int]] = {}
+    for row in found.select("label", "rank").orderBy("label", "rank").collect():
+        ranks.setdefault(row["label"], []).append(row["rank"])
+    # the last rank of each class that goes into the dictionary: 70 of 100 texts where there are few
+    last = {k: v[min(DICTIONARY_TEXTS, math.ceil(0.7 * len(v))) - 1] for k, v in ranks.items()}
+    in_dictionary = F.lit(False)
+    for k, rank in last.items():
+        in_dictionary = in_dictionary | ((F.col("label") == k) & (F.col("rank") <= rank))
+    contents: dict[str, list[str]] = {}
+    for row in found.where(in_dictionary).select("label", "rank", pieces("text").alias("piece")).orderBy("label", "rank").collect():
+        contents.setdefault(row["label"], []).append(row["piece"])
+    sizes = model_of({k: "\n".join(v).encode("utf-8", "surrogatepass") for k, v in sorted(contents.items())})
     prior = counts.get("1", 0) / sum(counts.values()) if counts else 0.5
     model = QualityModel(sizes, 0.0, 0.0, prior)
     if len(sizes.contents) < 2:
+        scratch.clear()
         return model
 
     @F.arrow_udf("double")
     def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([model.feature(t.as_py()) for t in batch], pa.float64())
+            yield pa.array(model.features(batch.to_pylist()), pa.float64())
 
-    texts = picked.where("role = 'calibration'").groupBy("label", "rank").agg(F.min("text").alias("text"))
-    rows = texts.select("label", features("text").alias("x")).collect()  # 2 * per_class rows at most
+    rows = found.where(~in_dictionary).select("label", features("text").alias("x")).collect()  # two numbers a text
+    scratch.clear()
     y = np.array([int(r["label"]) for r in rows], float)
     x = np.array([r["x"] for r in rows], float)
     if len(set(y)) < 2:
@@ -104,12 +123,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label:
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", into: str = "score") -> DataFrame:
-    """Add the calibrated score of each whole text. Null and empty texts get the prior. No shuffle."""
+    """Add the calibrated score of each whole text. No shuffle.
+
+    Null and empty texts get the prior; ties get equal scores; repeated rows are scored alike. Other columns
+    pass through; one already called ``into`` is replaced.
+    """
     bound_batches(docs.sparkSession)
 
     @F.arrow_udf("double")
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([model.score(t.as_py()) for t in batch], pa.float64())
+            yield pa.array(model.scores(batch.to_pylist()), pa.float64())
 
     return docs.withColumn(into, scored(F.col(text)))
