@@ -2,8 +2,8 @@
 
 Each line's hash gets a HyperLogLog sketch of the sites it occurs on, merged by aggregation. Lines clearly
 above ``min_sites`` are boilerplate, lines clearly below are not; those near the threshold get an exact
-distinct count. Boilerplate lines are then taken out of the texts. The query, as its SQL defines it, leaves
-texts alone that are mostly boilerplate; the pipeline leaves those alone that have no line of their own.
+distinct count. Boilerplate lines are then taken out of every text, whatever their share of it. The pipeline
+alone gives a text back that has no line of its own: such a text is a copy, which near-dedup judges.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ MIN_SITES = 10
 SKETCH_LG_K = 12
 #: Standard errors around the threshold inside which sites are counted exactly.
 NEAR_ERRORS = 4.0
-#: Boilerplate goes while it is at most this share of a text's line characters: the SQL's definition.
-MAX_SHARE = 0.5
 #: Fixed value: characters trimmed from a line's ends before it is compared.
 EDGE = " \t\r\x0b\x0c"
 
@@ -42,69 +40,68 @@ def _line_hashes(text: Column) -> Column:
     return F.transform(F.filter(_lines(text), lambda x: _trimmed(x) != ""), _hash)
 
 
-def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", scratch: Scratch | None = None) -> DataFrame:
-    """Hashes of the lines on ``min_sites`` sites or more, as the column ``line``. A null site counts for none."""
-    scratch = scratch or Scratch(docs.sparkSession, "lines")
-    lines = docs.select(F.col(site).alias("site"), F.explode(_line_hashes(F.col(text))).alias("line"))
-    sketches = lines.groupBy("line").agg(F.hll_sketch_agg(F.col("site"), F.lit(SKETCH_LG_K)).alias("sketch"))
+def _key(row: Column, text: str) -> Column:
+    """Finds a row's boilerplate again. That depends on the text alone: should two texts have one key, both get
+    the union of lines that are boilerplate anyway, which changes neither."""
+    known = row[text]
+    return F.xxhash64(known, F.char_length(known))
+
+
+def boilerplate_lines(lines: DataFrame, min_sites: int, scratch: Scratch) -> DataFrame:
+    """Hashes of the lines on ``min_sites`` sites or more, as the column ``line``. A null site counts for none.
+
+    ``lines``: site, hashes (of one text).
+    """
+    each = lines.select("site", F.explode(F.array_distinct("hashes")).alias("line"))
+    sketches = each.groupBy("line").agg(F.hll_sketch_agg(F.col("site"), F.lit(SKETCH_LG_K)).alias("sketch"))
     spread = sketches.select("line", F.hll_sketch_estimate("sketch").alias("sites"))
     error = NEAR_ERRORS * 1.04 / (1 << SKETCH_LG_K) ** 0.5
     low, high = min_sites * (1 - error) - 1, min_sites * (1 + error) + 1
     candidates = scratch.save(spread.where(F.col("sites") > low), "candidates")
     near = candidates.where(F.col("sites") <= high).select("line")
-    exact = lines.join(near, "line").groupBy("line").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites)
+    exact = each.join(near, "line").groupBy("line").agg(F.count_distinct("site").alias("sites")).where(F.col("sites") >= min_sites)
     return scratch.save(candidates.where(F.col("sites") > high).select("line").unionByName(exact.select("line")), "boilerplate")
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", into: str = "lines", max_share: float | None = MAX_SHARE) -> DataFrame:
-    """Add the struct column ``into``: n_lines, n_shared, n_removed (long), mostly_shared, text (without boilerplate).
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", into: str = "lines") -> DataFrame:
+    """Add the struct column ``into``: n_lines, n_shared (long), none_own, text (without boilerplate).
 
-    A text stays whole, and is ``mostly_shared``, where boilerplate is over ``max_share`` of its line characters;
-    with None only where every line that isn't blank is boilerplate, so that nothing of its own would be left.
-    Null texts stay null with no lines; empty texts have no line that counts. Blank lines stay. Ties don't
-    arise: a line goes everywhere or nowhere. Repeated rows and copies are treated alike, null ids too.
-    Other columns pass through.
+    Every boilerplate line goes from every text; blank lines stay. none_own: the text has lines that aren't
+    blank, and all are boilerplate. Null texts stay null with no lines; empty texts have no line that counts.
+    Ties don't arise: a line goes everywhere or nowhere. Repeated rows and copies are treated alike, null ids
+    too. Other columns pass through whatever their names (a row travels as one struct); one already called
+    ``into`` is replaced. Very long texts and lines are read whole.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    shared = boilerplate_lines(docs, min_sites, text, site, scratch)
-    # a text's boilerplate depends on the text alone, so it is looked up by a hash of row and text; should two
-    # hashes be equal, both get the union of true boilerplate lines, which changes neither
-    salt = [F.col(c) for c in docs.columns if c == "doc_id"]
-    key = F.xxhash64(F.col(text), *salt)
-    found = docs.where(F.col(text).isNotNull()).select(key.alias("__key"), F.explode(_line_hashes(F.col(text))).alias("line"))
-    hits = scratch.save(found.join(shared, "line").groupBy("__key").agg(F.collect_set("line").alias("__shared")), "hits")
+    rows = docs.select(F.struct(*docs.columns).alias("r"))
+    # lines are split and hashed once into a slim table, 8 bytes a line; all counting reads that
+    hashed = rows.select(F.col("r")[site].alias("site"), _key(F.col("r"), text).alias("key"), _line_hashes(F.col("r")[text]).alias("hashes"))
+    hashed = scratch.save(hashed.where(F.size("hashes") > 0), "hashes")
+    shared = boilerplate_lines(hashed, min_sites, scratch)
+    found = hashed.select("key", F.explode(F.array_distinct("hashes")).alias("line"))
+    hits = scratch.save(found.join(shared, "line").groupBy("key").agg(F.collect_set("line").alias("shared")), "hits")
     # merged at every size: the hits grow with the input
-    joined = docs.withColumn("__key", key).join(hits.hint("merge"), "__key", "left")
-    lines = _lines(F.col(text))
-    is_shared = lambda x: F.coalesce(F.array_contains(F.col("__shared"), _hash(x)), F.lit(False)) & (_trimmed(x) != "")
-    chars = lambda kept: F.aggregate(F.filter(lines, kept), F.lit(0).cast("bigint"), lambda n, x: n + F.char_length(_trimmed(x)))
-    n_lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(F.filter(lines, lambda x: _trimmed(x) != ""))).cast("long")
-    if max_share is None:
-        mostly = F.size(F.filter(lines, is_shared)) == n_lines
-    else:
-        mostly = chars(is_shared) > max_share * chars(lambda x: F.lit(True))
-    counted = joined.withColumn(
-        "__n",
-        F.when(F.col("__shared").isNotNull(), F.struct(
-            F.size(F.filter(lines, is_shared)).cast("long").alias("n_shared"),
-            mostly.alias("mostly"),
-        )),
-    )
-    go = F.coalesce(~F.col("__n.mostly"), F.lit(False))
-    n_shared = F.coalesce(F.col("__n.n_shared"), F.lit(0).cast("long"))
-    cleaned = F.when(go, F.array_join(F.filter(lines, lambda x: ~is_shared(x)), "\n")).otherwise(F.col(text))
-    out = F.struct(
-        n_lines.alias("n_lines"), n_shared.alias("n_shared"), F.when(go, n_shared).otherwise(F.lit(0).cast("long")).alias("n_removed"),
-        F.coalesce(F.col("__n.mostly"), F.lit(False)).alias("mostly_shared"), cleaned.alias("text"),
+    joined = rows.withColumn("key", _key(F.col("r"), text)).join(hits.hint("merge"), "key", "left")
+    lines = _lines(F.col("r")[text])
+    is_shared = lambda x: (_trimmed(x) != "") & F.array_contains(F.col("shared"), _hash(x))
+    n_lines = F.coalesce(F.size(F.filter(lines, lambda x: _trimmed(x) != "")), F.lit(0)).cast("long")
+    own = F.when(F.col("shared").isNotNull(), F.filter(lines, lambda x: ~is_shared(x)))
+    out = joined.withColumn("n_lines", F.when(F.col("r")[text].isNull(), F.lit(0).cast("long")).otherwise(n_lines)).withColumn("own", own)
+    n_shared = F.when(F.col("own").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size("own")).cast("long")
+    result = F.struct(
+        "n_lines", n_shared.alias("n_shared"), ((F.col("n_lines") > 0) & (n_shared == F.col("n_lines"))).alias("none_own"),
+        F.when(F.col("own").isNull(), F.col("r")[text]).otherwise(F.array_join("own", "\n")).alias("text"),
     )
-    return counted.withColumn(into, out).drop("__key", "__shared", "__n")
+    return out.select(*[F.col("r")[c].alias(c) for c in docs.columns if c != into], result.alias(into))
 
 
 def line_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: boilerplate lines go from the texts, whatever their share; every row stays, and so does a
-    text without a line of its own, a copy that near-dedup judges. Columns unchanged, n_chars follows the text."""
-    columns = docs.columns
-    done = remove_boilerplate(docs, into="__lines", max_share=None).withColumn("text", F.col("__lines.text"))
-    if "n_chars" in columns:
-        done = done.withColumn("n_chars", F.when(F.col("__lines.n_removed") > 0, F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return done.select(*columns)
+    """Pipeline stage: boilerplate lines go from the texts, whatever their share; every row stays. A text without a
+    line of its own keeps its lines: it is a copy, and emptied copies would be alike to near-dedup, which judges
+    it next. Columns unchanged; n_chars follows the text where that changes."""
+    done = remove_boilerplate(docs, into="__lines")
+    changed = (F.col("__lines.n_shared") > 0) & ~F.col("__lines.none_own")
+    new = {"text": F.when(changed, F.col("__lines.text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.char_length("__lines.text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
+    return done.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])

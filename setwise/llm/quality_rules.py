@@ -40,14 +40,31 @@ def _mixed(ids: np.ndarray) -> np.ndarray:
     return x
 
 
+def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to count-1 of the multiplier and of its inverse mod 2^64; kept, and grown by doubling."""
+    if len(_known[0]) < count:
+        size = 1 << max(10, (count - 1).bit_length())
+        for i, base in enumerate((int(_MULTIPLIER), pow(int(_MULTIPLIER), -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _known[i] = np.cumprod(steps, dtype=np.uint64)
+    return _known[0][:count], _known[1][:count]
+
+
+_known: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
 def rolling_hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    """Polynomial hashes (mod 2^64) of all windows of ``n`` ids, the earlier window's hash rolled forward by Horner's rule."""
-    x = _mixed(ids)
+    """Polynomial hashes (mod 2^64) of all windows of ``n`` ids, rolled in one pass whatever ``n``.
+
+    Running sums of id times power of the multiplier: a window's hash is the difference of two of them,
+    shifted back by the power at which the window starts. That power is odd, so it has an inverse mod 2^64.
+    """
     count = len(ids) - n + 1
-    out = np.zeros(count, np.uint64)
-    for i in range(n):
-        out = out * _MULTIPLIER + x[i : i + count]
-    return out
+    up, down = _powers(len(ids))
+    sums = np.zeros(len(ids) + 1, np.uint64)
+    np.cumsum(_mixed(ids) * up, out=sums[1:])
+    return (sums[n:] - sums[:-n]) * down[:count]
 
 
 def repeated_mask(ids: np.ndarray, n: int) -> np.ndarray:
@@ -114,8 +131,14 @@ def verdict(m: dict) -> tuple[bool, bool]:
     return base_failed, kept
 
 
-COLUMNS = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "dup_line_coverage": pa.float64()} | {f"coverage_{n}": pa.float64() for n in NGRAM_LIMITS} | {"base_failed": pa.bool_(), "kept": pa.bool_()}
-_STRUCT = "struct<" + ",".join(f"{k}:{'bigint' if v == pa.int64() else 'double' if v == pa.float64() else 'boolean'}" for k, v in COLUMNS.items()) + ">"
+COLUMNS = (
+    {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64()}
+    | {"dup_line_coverage": pa.float64()}
+    | {f"coverage_{n}": pa.float64() for n in NGRAM_LIMITS}
+    | {"base_failed": pa.bool_(), "kept": pa.bool_()}
+)
+_SQL_TYPES = {pa.int64(): "bigint", pa.float64(): "double", pa.bool_(): "boolean"}
+_STRUCT = "struct<" + ",".join(f"{k}:{_SQL_TYPES[v]}" for k, v in COLUMNS.items()) + ">"
 
 
 def _measure_all(texts: pa.Array) -> pa.Array:
@@ -130,7 +153,8 @@ def _measure_all(texts: pa.Array) -> pa.Array:
 def repetition_coverage(docs: DataFrame, text: str = "text", into: str = "quality") -> DataFrame:
     """Add the struct column ``into`` with all measures and the verdict.
 
-    Null and empty texts: no words, so ``base_failed``. Repeated rows and null ids: each row on its own.
+    Null and empty texts: no words, so ``base_failed``. Repeated rows and null ids: each row on its own. Very
+    long texts are measured whole; a measure that ties with its limit passes.
     Other columns pass through, whatever their names; a column already called ``into`` is replaced.
     """
     bound_batches(docs.sparkSession)

@@ -37,13 +37,11 @@ with lines as (
   select m.*, m.t in (select t from shared) as is_shared from trimmed m
 ), counted as (
   select doc_id, count(*) filter (t <> '') as n_lines, count(*) filter (is_shared) as n_shared,
-    coalesce(sum(length(t)) filter (is_shared), 0) * 2 > coalesce(sum(length(t)), 0) as mostly_shared,
     coalesce(string_agg(line, chr(10) order by pos) filter (not is_shared), '') as clean
   from marked group by doc_id
 )
 select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_shared, 0) as n_shared,
-  case when mostly_shared then 0 else coalesce(n_shared, 0) end as n_removed, coalesce(mostly_shared, false) as mostly_shared,
-  case when d.text is null or coalesce(mostly_shared, false) or n_shared = 0 then d.text else clean end as text
+  coalesce(n_lines > 0 and n_shared = n_lines, false) as none_own, case when n_shared > 0 then clean else d.text end as text
 from documents d left join counted c on d.doc_id = c.doc_id
 """
 

@@ -57,10 +57,9 @@ def brute_lines(rows, min_sites):
     for doc_id, text, _ in rows:
         lines = [] if text is None else text.split("\n")
         trimmed = [x.strip(line_dedup.EDGE) for x in lines]
-        n = sum(t in shared for t in trimmed)
-        mostly = n > 0 and 2 * sum(len(t) for t in trimmed if t in shared) > sum(map(len, trimmed))
-        clean = text if not n or mostly else "\n".join(x for x, t in zip(lines, trimmed) if t not in shared)
-        out[(doc_id, sum(t != "" for t in trimmed), n, 0 if mostly else n, mostly, clean)] += 1
+        n, n_lines = sum(t in shared for t in trimmed), sum(t != "" for t in trimmed)
+        clean = text if not n else "\n".join(x for x, t in zip(lines, trimmed) if t not in shared)
+        out[(doc_id, n_lines, n, 0 < n == n_lines, clean)] += 1
     return out
 
 
@@ -83,12 +82,23 @@ def test_line_dedup_on_odd_rows(odd_docs, no_docs):
     assert line_dedup.remove_boilerplate(no_docs).count() == 0
 
 
+def test_line_dedup_keeps_every_column(spark):
+    """Also those that are called like the operator's own, and a column called like the result is replaced."""
+    rows = [(i, f"own {i}\nfooter", f"s{i}", "k", "s", "n", "o", "r", "x") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, __key string, shared string, n_lines string, own string, r string, lines string")
+    out = line_dedup.remove_boilerplate(docs)
+    assert out.columns == docs.columns
+    assert {tuple(r)[3:8] for r in out.collect()} == {("k", "s", "n", "o", "r")} and {r["lines"]["text"] for r in out.collect()} == {f"own {i}" for i in range(12)}
+
+
 def test_line_stage_removes_boilerplate_of_any_share(spark):
     """All but texts without a line of their own lose it, be it most of the text."""
     licence = "\n".join(f"clause {i} of a licence found on every site " + "and so on " * 20 for i in range(3))
     rows = [(i, f"own words of page {i}\n{licence}", f"s{i}", -1) for i in range(12)]  # about 97% boilerplate
     rows += [(50, licence, "s1", -1), (51, f"\n{licence}\n ", "s2", -1), (52, "own only", "s3", -1), (53, None, "s4", None), (54, f"{licence}\n{licence}\nx", None, -1)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint")
+    found = {r["doc_id"]: (r["lines"]["text"], r["lines"]["none_own"]) for r in line_dedup.remove_boilerplate(docs).collect()}
+    assert found[50] == ("", True) and found[51] == ("\n ", True) and found[54] == ("x", False) and found[3] == ("own words of page 3", False)
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in line_dedup.line_stage(spark, docs, "").collect()}
     want = {i: (f"own words of page {i}", len(f"own words of page {i}")) for i in range(12)}
     assert got == want | {50: (licence, -1), 51: (f"\n{licence}\n ", -1), 52: ("own only", -1), 53: (None, None), 54: ("x", 1)}
@@ -227,8 +237,9 @@ def test_pipeline_matches_its_stages_by_brute_force(spark, tmp_path):
     model = language_id.fit(spark.createDataFrame(kept, "doc_id bigint, text string, lang string, source string, n_chars bigint"))
     kept = [r for r in kept if not language_id.classify(model, r[1])[3]]
     cleaned = brute_lines([(r[0], r[1], r[3]) for r in kept], line_dedup.MIN_SITES)
-    texts = [(k[0], k[5]) for k, n in cleaned.items() for _ in range(n)]
-    assert any(k[3] for k in cleaned), "no line was removed"
+    whole = dict((r[0], r[1]) for r in kept)
+    texts = [(k[0], whole[k[0]] if k[3] else k[4]) for k, n in cleaned.items() for _ in range(n)]
+    assert any(k[2] for k in cleaned), "no line was removed"
     alive = {k[0] for k in brute_near(texts) if k[3]}
     assert len(alive) < len({i for i, _ in texts})
     own = packing.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
