@@ -1,25 +1,33 @@
-"""Operator 3, sharding by k-d tree partitioning. DataFrame operations only.
+"""Operator 3, sharding by k-d tree partitioning. DataFrame and SQL operations only.
 
-Rows are points over their metadata. A node is split at a weighted median along the dimension in which it
-is widest, until every leaf holds about the target bytes. Of a node for k shards, floor(k/2)/k of the bytes
-go left, so that any number of leaves comes out even.
+Points are groups of rows that stay together (equal texts), placed by their metadata. A node is split at the
+weighted median along the dimension in which it is widest, until every leaf holds about the target bytes. Of
+a node for k shards, floor(k/2)/k of the bytes go left, so that any number of leaves comes out even.
 
-The median of all nodes of a level is found at once: rows are range-partitioned by (node, dimension, tie
-breakers), sums per partition locate the partition that holds each median, and only its rows are scanned for
-the exact row. Every range is cut to about equal rows, whatever values repeat.
+The points are written once and never moved. A node is known by the cuts above it, which are a few rows. The
+medians of all nodes of a level come from histograms that merge by aggregation: the bin that holds a node's
+goal becomes the next pass's window, until it is narrow enough; where many points share the median's value,
+the search goes on in their tie breakers. A pass reads slim columns and shuffles only bins.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, partitions, text_or_empty
 
 #: Bytes that a row costs beside its text.
 ROW_OVERHEAD = 16
+#: Bins of a histogram, and the share of a leaf's bytes up to which the median's bin is narrowed.
+BINS, PRECISION = 2048, 1 / 128
+#: A group over this share of a leaf's bytes is several points, next to each other in every dimension.
+GROUP_SHARE = 1 / 32
+
+#: Tie breakers are whole numbers under 2^53, exact as doubles: 33 bits of the group's hash, 20 of the point's number.
+_TIE_BITS, _NUMBER_BITS = 53, 20
 
 
 def hashed_position(value: Column) -> Column:
@@ -27,85 +35,158 @@ def hashed_position(value: Column) -> Column:
     return F.when(value.isNull(), F.lit(-1.0)).otherwise(F.pmod(F.xxhash64(value), F.lit(1 << 20)) / float(1 << 20))
 
 
-def _ranged(scratch: Scratch, df: DataFrame, order: list[str]) -> DataFrame:
-    """Rows sorted over all partitions by ``order``, with their partition ``pid`` and its row number ``at``."""
-    count = partitions(df.sparkSession)
-    ranged = df.repartitionByRange(count, *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
-    return scratch.save(ranged.withColumn("pid", F.shiftright("__id", 33)).withColumn("at", F.col("__id").bitwiseAND((1 << 33) - 1)).drop("__id"), "ranged")
-
-
-def _before(parts: DataFrame, group: str, value: str) -> Column:
-    """Exclusive running sum of ``value`` over the partitions of a group; ``parts`` has a row per group and partition."""
-    return F.coalesce(F.sum(value).over(Window.partitionBy(group).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-
-
-def kd_shards(rows: DataFrame, dimensions: list[str], weight: str, ties: list[str], shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
+def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows of numbers as a table."""
+    names = ", ".join(c.split()[0] for c in schema.split(", "))
+    text = lambda x: f"{x!r}D" if isinstance(x, float) else str(x).lower()
+    values = ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
+    return spark.sql(f"select {', '.join(f'cast({c.split()[0]} as {c.split()[1]}) as {c.split()[0]}' for c in schema.split(', '))} from values {values} as t({names})")
+
+
+def _value(dimensions: list[str]) -> Column:
+    return F.element_at(F.array(*[F.col(d).cast("double") for d in dimensions]), F.col("dim"))
+
+
+def _in_nodes(points: DataFrame, dimensions: list[str], levels: list[list[tuple]]) -> DataFrame:
+    """The points with their node, the column ``first``: the cuts of each level (a row per node) are looked up in turn."""
+    out = points.withColumn("first", F.lit(0))
+    for cuts in levels:
+        table = _local(points.sparkSession, cuts, "node int, dim int, cut double, tie_cut bigint, half int")
+        v = _value(dimensions)
+        left = F.col("node").isNull() | (v < F.col("cut")) | ((v == F.col("cut")) & (F.col("tie") <= F.col("tie_cut")))
+        out = out.join(F.broadcast(table), F.col("first") == F.col("node"), "left")
+        out = out.withColumn("first", F.when(left, F.col("first")).otherwise(F.col("first") + F.col("half"))).select(*points.columns, "first")
+    return out
+
+
+def _medians(placed: DataFrame, dimensions: list[str], goals: dict[int, tuple], leaf: float, precision: float) -> dict[int, tuple[float, int]]:
+    """node -> (cut, tie_cut). ``goals``: node -> (dim, lo, hi, bytes that go left)."""
+    spark, found = placed.sparkSession, {}
+    # node -> (dim, by tie, value, lo, hi, bytes before the window, goal)
+    windows = {n: (dim, False, 0.0, lo, hi, 0, goal) for n, (dim, lo, hi, goal) in goals.items()}
+    while windows:
+        table = _local(spark, [(n, *w) for n, w in windows.items()], "node int, dim int, by_tie boolean, value double, lo double, hi double, base bigint, goal double")
+        v = _value(dimensions)
+        x = F.when(F.col("by_tie"), F.col("tie").cast("double")).otherwise(v)
+        inside = placed.join(F.broadcast(table), F.col("first") == F.col("node")).withColumn("x", x)
+        inside = inside.where(F.col("x").between(F.col("lo"), F.col("hi")) & (~F.col("by_tie") | (v == F.col("value"))))
+        position = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS)).otherwise(F.lit(0))
+        bins = inside.groupBy("node", F.least(F.lit(BINS - 1), position).alias("bin")).agg(
+            F.sum("w").alias("w"), F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.first("base").alias("base"), F.first("goal").alias("goal")
+        )
+        earlier = Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # BINS rows a node
+        bins = bins.withColumn("before", F.col("base") + F.coalesce(F.sum("w").over(earlier), F.lit(0)))
+        hit = bins.where((F.col("before") <= F.col("goal")) & (F.col("goal") < F.col("before") + F.col("w"))).collect()  # a row a node
+        if len(hit) < len(windows):
+            raise RuntimeError("the points changed between two passes")
+        for r in hit:
+            dim, by_tie, value, _, _, _, goal = windows.pop(r["node"])
+            single = r["n"] == 1 or (by_tie and r["low"] == r["high"])
+            if single or r["w"] <= precision * leaf:  # goes left as a whole if most of it lies before the goal
+                left = goal - r["before"] >= r["w"] / 2
+                edge = r["high"] if left else math.nextafter(r["low"], -math.inf)
+                found[r["node"]] = (value, math.floor(edge)) if by_tie else (edge, 1 << _TIE_BITS)
+            elif not by_tie and r["low"] == r["high"]:
+                windows[r["node"]] = (dim, True, r["low"], 0.0, float(1 << _TIE_BITS), r["before"], goal)
+            else:
+                windows[r["node"]] = (dim, by_tie, value, r["low"], r["high"], r["before"], goal)
+    return found
+
+
+def _points(scratch: Scratch, base: DataFrame, dimensions: list[str], most: float) -> tuple[DataFrame, DataFrame]:
+    """(points, heavy): a point per group, or ceil(bytes / most) of a heavier one, whose rows are dealt by row number."""
+    least = [F.min(d).alias(d) for d in dimensions]
+    groups = scratch.save(base.groupBy("__group").agg(F.sum("__w").alias("w"), *least), "groups")
+    tie = lambda number: F.shiftleft(F.shiftrightunsigned(F.xxhash64("__group"), 64 - _TIE_BITS + _NUMBER_BITS), _NUMBER_BITS) + number
+    # fewer than the whole table's bytes / most of them: shards / GROUP_SHARE rows
+    heavy = scratch.save(groups.where(F.col("w") > most).withColumn("numbers", F.ceil(F.col("w") / F.lit(most)).cast("int")), "heavy")
+    dealt = base.join(F.broadcast(heavy.select("__group", "numbers")), "__group").groupBy("__group", _number().alias("number")).agg(F.sum("__w").alias("w"))
+    several = dealt.join(F.broadcast(heavy.drop("w", "numbers")), "__group")
+    one = groups.where(F.col("w") <= most).withColumn("number", F.lit(0))
+    columns = ["__group", "number", *dimensions, "w"]
+    return scratch.save(one.select(*columns).unionByName(several.select(*columns)).withColumn("tie", tie(F.col("number"))), "points"), heavy
+
+
+def _number() -> Column:
+    """The point of its group that a row belongs to."""
+    return F.coalesce(F.pmod(F.xxhash64("__row"), F.col("numbers")), F.lit(0)).cast("int")
+
+
+def kd_shards(
+    rows: DataFrame, dimensions: list[str], weight: str, group: str, ties: list[str],
+    shards: int | None = None, target_bytes: int | None = None, precision: float = PRECISION,
+) -> DataFrame:
     """Add ``shard`` (0 to n-1) and ``slot`` (gapless from 0 in each shard) to ``rows``.
 
     ``dimensions`` are numeric columns without nulls; their widths are compared relative to the whole table's.
-    ``ties`` order equal points. Give ``shards``, or ``target_bytes`` of a leaf. An empty table gives no rows.
-    """
+    Rows with one ``group`` (a long) stay in one shard, unless a median falls inside a group of more than
+    GROUP_SHARE of a leaf: at most one group a cut. ``ties`` order a shard's rows. Give ``shards``, or
+    ``target_bytes`` of a leaf. An empty table gives no rows.
+    """
     spark = rows.sparkSession
-    scratch = Scratch(spark, "kd")
-    base = scratch.save(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    whole = base.agg(F.sum(weight).alias("w"), *[F.min(d).alias(f"lo_{i}") for i, d in enumerate(dimensions)], *[F.max(d).alias(f"hi_{i}") for i, d in enumerate(dimensions)]).first()
+    scratch, result = Scratch(spark, "kd"), Scratch(spark, "kd-result")
+    named = rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("__group", F.col(group)).withColumn("__w", F.col(weight).cast("long"))
+    base = scratch.save(named, "rows")
+    ends = [f(d).cast("double").alias(f"{k}_{i}") for i, d in enumerate(dimensions) for k, f in (("lo", F.min), ("hi", F.max))]
+    whole = base.agg(F.sum("__w").alias("w"), *ends).first()
     if whole["w"] is None:
-        return base.drop("__row").withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
+        return rows.withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long"))
     if shards is None:
         shards = max(1, math.ceil(whole["w"] / target_bytes))
-    extents = [max(float(whole[f"hi_{i}"]) - float(whole[f"lo_{i}"]), 1e-12) for i in range(len(dimensions))]
-
-    # a node is the shards [first, first + leaves); both travel with the rows
-    nodes = base.withColumn("first", F.lit(0)).withColumn("leaves", F.lit(shards))
-    for _ in range(math.ceil(math.log2(shards)) if shards > 1 else 0):
-        spread = [(F.max(d) - F.min(d)) / F.lit(e) for d, e in zip(dimensions, extents)]
-        widest = F.array_position(F.array(*spread), F.array_max(F.array(*spread))).cast("int").alias("widest")
-        shape = nodes.groupBy("first").agg(F.sum(weight).alias("node_weight"), widest)  # a row per node, `shards` at most
-        value = F.element_at(F.array(*[F.col(d).cast("double") for d in dimensions]), F.col("widest")).alias("__value")
-        placed = nodes.join(F.broadcast(shape), "first").withColumn("__value", value)
-        order = ["first", "__value", *ties, "__row"]
-        ranged = _ranged(scratch, placed, order)
-        # where each node's cut falls: the partition first, then the row
-        parts = ranged.groupBy("first", "pid").agg(F.sum(weight).alias("w"), F.max("node_weight").alias("node_weight"), F.max("leaves").alias("leaves"))
-        goal = F.col("node_weight") * F.expr("leaves div 2") / F.col("leaves")
-        located = parts.withColumn("before", _before(parts, "first", "w")).withColumn("goal", goal)
-        located = scratch.save(located.where((F.col("leaves") > 1) & (F.col("before") <= F.col("goal")) & (F.col("goal") < F.col("before") + F.col("w"))).select("first", "pid", "before", "goal"), "located")
-        inside = ranged.select("first", "pid", "at", weight).join(F.broadcast(located), ["first", "pid"])  # one partition a node at most
-        running = F.sum(weight).over(Window.partitionBy("first", "pid").orderBy("at")) + F.col("before")
-        # a row goes left if most of it lies before the goal
-        cut = inside.withColumn("run", running).groupBy("first", "pid").agg(F.max(F.when(F.col("run") - F.col(weight) / 2 <= F.col("goal"), F.col("at"))).alias("last_left"))
-        cut = scratch.save(cut.withColumnRenamed("pid", "cut_pid"), "cut")
-        split = ranged.join(F.broadcast(cut), "first", "left")
-        right = (F.col("pid") > F.col("cut_pid")) | ((F.col("pid") == F.col("cut_pid")) & (F.col("at") > F.coalesce("last_left", F.lit(-1))))
-        right = (F.col("leaves") > 1) & F.coalesce(right, F.lit(False))
-        half = F.expr("leaves div 2")
-        nodes = split.select(
-            *base.columns,
-            F.when(right, F.col("first") + half).otherwise(F.col("first")).cast("int").alias("first"),
-            F.when(F.col("leaves") <= 1, F.col("leaves")).when(right, F.col("leaves") - half).otherwise(half).cast("int").alias("leaves"),
-        )
-    final = _ranged(scratch, nodes, ["first", *ties, "__row"])
-    parts = final.groupBy("first", "pid").agg(F.count("*").alias("n"), F.min("at").alias("start"))
-    offsets = parts.withColumn("before", _before(parts, "first", "n")).select("first", "pid", (F.col("before") - F.col("start")).alias("shift"))
-    # partitions + shards rows at most: ranges follow each other
-    slotted = final.join(F.broadcast(scratch.save(offsets, "offsets")), ["first", "pid"])
-    return slotted.withColumn("slot", F.col("at") + F.col("shift")).withColumnRenamed("first", "shard").drop("pid", "at", "shift", "leaves", "__row")
+    leaf = whole["w"] / shards
+    extents = [max(whole[f"hi_{i}"] - whole[f"lo_{i}"], 1e-12) for i in range(len(dimensions))]
+    points, heavy = _points(scratch, base, dimensions, max(1.0, GROUP_SHARE * leaf))
+
+    # a node is the shards [first, first + leaves)
+    levels: list[list[tuple]] = []
+    nodes = {0: shards}
+    while any(k > 1 for k in nodes.values()):
+        placed = _in_nodes(points, dimensions, levels)
+        goals = {}
+        for r in placed.groupBy("first").agg(F.sum("w").alias("w"), *ends).collect():  # a row a node
+            leaves = nodes[r["first"]]
+            if leaves > 1:
+                spread = [(r[f"hi_{i}"] - r[f"lo_{i}"]) / e for i, e in enumerate(extents)]
+                widest = spread.index(max(spread))
+                goals[r["first"]] = widest + 1, r[f"lo_{widest}"], r[f"hi_{widest}"], r["w"] * (leaves // 2) / leaves
+        cuts = _medians(placed, dimensions, goals, leaf, precision)
+        levels.append([(n, goals[n][0], cut, tie_cut, nodes[n] // 2) for n, (cut, tie_cut) in sorted(cuts.items())])
+        split = {n: k for n, k in nodes.items() if n in cuts}  # a node without points needs no cut
+        nodes = {n: k for n, k in nodes.items() if k == 1} | {n: k // 2 for n, k in split.items()} | {n + k // 2: k - k // 2 for n, k in split.items()}
+
+    shard_of = _in_nodes(points, dimensions, levels).select(F.col("__group").alias("g"), "number", F.col("first").alias("shard"))
+    numbered = base.join(F.broadcast(heavy.select("__group", "numbers")), "__group", "left").withColumn("__number", _number())
+    dealt = numbered.join(shard_of, (F.col("__group") == F.col("g")) & (F.col("__number") == F.col("number")))
+    dealt = scratch.save(dealt.select(*rows.columns, "__row", "shard"), "dealt")
+    order = ["shard", *ties, "__row"]
+    sorted_ = dealt.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
+    final = result.save(sorted_.drop("__row"), "sorted")
+    scratch.clear()
+    # a row for each shard in a partition, partitions + shards at most as ranges follow each other
+    pid, at = F.shiftright("__id", 33).alias("pid"), F.col("__id").bitwiseAND((1 << 33) - 1)
+    parts = final.groupBy("shard", pid).agg(F.count("*").alias("n"), F.min(at).alias("start"))
+    earlier = Window.partitionBy("shard").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = result.save(parts.select("shard", "pid", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("start")).alias("shift")), "shifts")
+    return final.withColumn("pid", pid).join(F.broadcast(shifts), ["shard", "pid"]).select(*rows.columns, "shard", (at + F.col("shift")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int | None = 40, target_bytes: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, and the metadata the tree splits on.
 
     Size is the text's UTF-8 bytes (null: none) plus 16. Dimensions: log2 of the size, source and lang as
-    hashed positions (null before all others). Ties are ordered by text checksum and doc_id, so equal texts
-    stay together unless a cut falls among them. Null and repeated doc_ids are rows like any other.
+    hashed positions (null before all others); a group of equal texts stands at the least of its rows'. Equal
+    texts share a shard, unless a median falls inside a group of more than 1/32 of a shard: at most one group
+    for each of the 39 cuts. Null and empty texts are equal. Null and repeated doc_ids are rows like any
+    other; a very long text is one row, so its shard exceeds the others by up to its size.
     """
     text = text_or_empty("text")
     rows = docs.select(
         "doc_id",
         (F.octet_length(text) + ROW_OVERHEAD).cast("long").alias("size"),
         F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
+        F.xxhash64(text).alias("text_hash"),
         hashed_position(F.col("source")).alias("source_at"),
         hashed_position(F.col("lang")).alias("lang_at"),
     ).withColumn("size_at", F.log2(F.col("size").cast("double")))
-    done = kd_shards(rows, ["size_at", "source_at", "lang_at"], "size", ["text_crc32", "doc_id"], shards, target_bytes)
+    done = kd_shards(rows, ["size_at", "source_at", "lang_at"], "size", "text_hash", ["text_crc32", "doc_id"], shards, target_bytes)
     return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "size_at", "source_at", "lang_at")
