@@ -3,17 +3,21 @@
 Texts become token ids; texts longer than a sequence are cut into whole sequences and one shorter first
 piece. How pieces share sequences depends on their lengths alone, so the packing is planned on the
 histogram of lengths (at most ``budget`` rows): longest first, each piece goes into the open bin that makes
-the sum of squared counts of open bins per residual gap smallest, and opens a bin only where none fits.
-A histogram of more than ``PLAN_ITEMS`` pieces is divided: the plan of its q-th part is used q times and
-the remainder is planned again. Pieces then find their place by their rank among pieces of their length,
-through counts per partition: no sort, no group in one task.
+the sum of squared counts of open bins per residual gap smallest, and opens a bin only where none fits
+(weighing a new bin in the same sum costs bins when the longest come first; README has figures).
+
+Pieces of one length are placed in runs of a 32nd of those left, whatever their number, so the last 32 go
+one by one. The plan's size and time grow with the logarithm of the number of pieces. Pieces then find
+their place by their rank among pieces of their length, through counts per partition: no sort, no group in
+one task.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,11 +32,15 @@ from tokenizers import Tokenizer
 
 from .common import Scratch, bound_batches
 
-#: Pieces planned one by one on the driver: bounds its time and the plan's size.
-PLAN_ITEMS = 100_000
+#: A run is this part of a length's pieces that are left: a plan has about RUNS * ln(pieces) rows a length.
+RUNS = 32
+#: Parts into which a length's ranks are divided, for the join that looks a piece's place up.
+SLOTS = 64
 
 #: The byte-level pre-token pattern.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The pre-tokenizer of such files.
+_PRE_TOKENIZER = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 #: Texts with other characters, or with very long runs, take the library's own path.
 _UNUSUAL = re.compile("[^\x00-ɏ‐-⁞]|[^ \n]{1000}|[ \n\t]{1000}")
 
@@ -40,7 +48,8 @@ _UNUSUAL = re.compile("[^\x00-ɏ‐-⁞]|[^ \n]{1000}|[ \n\t]{1000}")
 class ByteTokenizer:
     """Ids of a byte-level BPE file, as its library gives them with ``add_special_tokens=False``.
 
-    The same merges run in a faster encoder for usual texts: the vocabulary's order is its ranks.
+    The same merges run in a faster encoder for usual texts, where the vocabulary's order is that of the merges
+    and the pre-tokens are the usual ones; any other file is left to the library.
     """
 
     def __init__(self, path: str):
@@ -50,7 +59,14 @@ class ByteTokenizer:
         vocab = self.library.get_vocab(with_added_tokens=False)
         of_char = {v: k for k, v in _byte_alphabet().items()}
         ranks = {bytes(of_char[c] for c in token): i for token, i in vocab.items() if token not in special}
-        if sorted(ranks.values()) == list(range(len(ranks))) and self.library.normalizer is None:
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        joined = ["".join(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"]]
+        in_order = [vocab.get(t) for t in joined] == list(range(256, 256 + len(joined)))
+        usual = {k: v for k, v in (spec.get("pre_tokenizer") or {}).items() if k != "trim_offsets"} == _PRE_TOKENIZER and spec.get("normalizer") is None
+        plain = not any(spec["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        plain = plain and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"])
+        if in_order and usual and plain and sorted(ranks.values()) == list(range(len(ranks))):
             self.fast = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def ids(self, text: str | None) -> list[int]:
@@ -79,63 +95,66 @@ def cut(n: int, budget: int) -> list[tuple[int, int]]:
     return [(s, (first if s == 0 and first else budget)) for s in starts]
 
 
-def pack_lengths(hist: dict[int, int], budget: int) -> tuple[list[tuple[int, int, int]], int]:
-    """Sum-of-squares packing of a small histogram: ([(length, bin, offset)], bins)."""
+def plan(hist: dict[int, int], budget: int, runs: int = RUNS) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Sum-of-squares packing of a histogram: ([(length, first_rank, n, first_bin, offset)], bins).
+
+    Ranks number the pieces of a length; pieces first_rank, ... first_rank + n - 1 go to bins first_bin, ... at
+    that offset. A run goes to bins of one gap: the one where a piece changes the sum least (the tightest of
+    equals), the latest bins of that gap first.
+    """
     count = np.zeros(budget + 1, np.int64)  # open bins per residual gap
-    open_bins: list[list[int]] = [[] for _ in range(budget + 1)]
-    placed, bins = [], 0
-    never = np.int64(1) << 40
+    pools: list[list[tuple[int, int]]] = [[] for _ in range(budget + 1)]  # their numbers, as (first, n)
+    rows, bins = [], 0
+    never = np.int64(1) << 60
     for length in sorted((k for k, v in hist.items() if v > 0), reverse=True):
-        for _ in range(hist[length]):
+        rank, total = 0, hist[length]
+        while rank < total:
             here = count[length:]
-            after = count[: budget + 1 - length].copy()
             # change of the sum when a bin of gap g (from ``length`` up) takes the piece; full bins don't count
-            change = np.where(here > 0, 2 - 2 * here + 2 * after, never)
+            change = np.where(here > 0, 2 - 2 * here + 2 * count[: budget + 1 - length], never)
             if here[0] > 0:
                 change[0] = 1 - 2 * here[0]
             best = int(change.argmin())
+            n = -(-(total - rank) // runs)
             if change[best] >= never:
-                gap, own = budget, bins
-                bins += 1
+                gap, taken = budget, [(bins, n)]
+                bins += n
             else:
-                gap = length + best
-                own = open_bins[gap].pop()
-                count[gap] -= 1
-            placed.append((length, own, budget - gap))
+                gap, taken = length + best, []
+                n = min(n, int(count[gap]))
+                count[gap] -= n
+                left = n
+                while left:
+                    first, have = pools[gap].pop()
+                    use = min(have, left)
+                    if use < have:
+                        pools[gap].append((first, have - use))
+                    taken.append((first + have - use, use))
+                    left -= use
+            for first, use in taken:
+                rows.append((length, rank, use, first, budget - gap))
+                rank += use
             if gap > length:
-                open_bins[gap - length].append(own)
-                count[gap - length] += 1
-    return placed, bins
-
-
-def plan(hist: dict[int, int], budget: int, most: int = PLAN_ITEMS) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """(stages, places). stages: length, stage, first and end rank, copies, base; places: stage, length, index, bin, offset."""
-    left, start = Counter({k: v for k, v in hist.items() if v > 0}), defaultdict(int)
-    stages, places, base, stage = [], [], 0, 0
-    while sum(left.values()):
-        copies = -(-sum(left.values()) // most)
-        part = {k: v // copies for k, v in left.items() if v >= copies}
-        if not part:  # fewer than `copies` of every length: plan what is there, rounds of `most`
-            copies, part, room = 1, {}, most
-            for k in sorted(left, reverse=True):
-                part[k] = min(left[k], room)
-                room -= part[k]
-        placed, bins = pack_lengths(part, budget)
-        seen: Counter = Counter()
-        for length, own, offset in placed:
-            places.append((stage, length, seen[length], own, offset))
-            seen[length] += 1
-        for length, v in part.items():
-            if v:
-                stages.append((length, stage, start[length], start[length] + v * copies, copies, base))
-                start[length] += v * copies
-                left[length] -= v * copies
-        base += bins * copies
-        stage += 1
-    return (
-        pd.DataFrame(stages, columns=["length", "stage", "first_rank", "end_rank", "copies", "base"]).astype("int64"),
-        pd.DataFrame(places, columns=["stage", "length", "index", "bin", "offset"]).astype("int64"),
-    )
+                pools[gap - length] += taken
+                count[gap - length] += n
+    return rows, bins
+
+
+def _slot_size(pieces: int) -> int:
+    return -(-pieces // SLOTS)
+
+
+def _slots(hist: dict[int, int], rows: list[tuple[int, int, int, int, int]]) -> pd.DataFrame:
+    """The plan for an equi-join: rows cut where the slot of a length's ranks ends."""
+    out = []
+    for length, rank, n, first, offset in rows:
+        size = _slot_size(hist[length])
+        shift = first - rank
+        while n:
+            part = min(n, size - rank % size)
+            out.append((length, rank // size, rank, rank + part, shift, offset))
+            rank, n = rank + part, n - part
+    return pd.DataFrame(out, columns=["length", "slot", "first_rank", "end_rank", "shift", "offset"]).astype("int64")
 
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part bigint, nth bigint"
@@ -167,8 +186,10 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, budget: int = 1024) -> Dat
     """Pieces with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null and empty texts are the end id alone. Rows with a null or repeated doc_id are packed as rows of
-    their own. An empty table gives no rows. Whole sequences get negative ids of their own; shared ones
-    count from 0. The pieces are written once to the shared folder, so a lost executor costs a reread.
+    their own. An empty table gives no rows; extra columns are ignored. Whole sequences get negative ids of
+    their own; shared ones count from 0. Pieces of equal length are told apart by their place in the input
+    alone. Very long texts give many pieces. The pieces are written once to the shared folder, so a lost
+    executor costs a reread.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
@@ -182,17 +203,16 @@ def pack(docs: DataFrame, path: str, end_id: int = 2, budget: int = 1024) -> Dat
     hist = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # under `budget` rows
     if not hist:
         return whole
-    stages, places = plan(hist, budget)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    sizes = spark.createDataFrame(pd.DataFrame([(k, _slot_size(n)) for k, n in hist.items()], columns=["length", "size"]).astype("int64"))
     ranked = short.join(offsets, ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
-    # both tables are bounded: lengths x stages, and PLAN_ITEMS a stage
-    staged = ranked.join(F.broadcast(spark.createDataFrame(stages)), "length").where((F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank")))
-    indexed = staged.withColumn("index", F.expr("(rank - first_rank) div copies")).withColumn("copy", F.expr("(rank - first_rank) % copies"))
-    placed = indexed.join(F.broadcast(spark.createDataFrame(places)), ["stage", "length", "index"])
-    return whole.unionByName(
-        placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("bin") * F.col("copies") + F.col("copy")).alias("sequence_id"), "offset")
-    )
+    slotted = ranked.join(F.broadcast(sizes), "length").withColumn("slot", F.expr("rank div size"))  # a row a length
+    # the plan is bounded: about RUNS * ln(pieces) rows for each length under the budget
+    planned = scratch.save(spark.createDataFrame(_slots(hist, plan(hist, budget)[0])), "plan")
+    inside = (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("end_rank"))
+    placed = slotted.join(F.broadcast(planned), ["length", "slot"]).where(inside)
+    return whole.unionByName(placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("shift")).alias("sequence_id"), "offset"))
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

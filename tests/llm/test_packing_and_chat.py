@@ -24,29 +24,101 @@ def check_places(pieces, budget):
     return len(by_sequence)
 
 
+def placements(hist, budget, **options):
+    rows, bins = packing.plan(hist, budget, **options)
+    ranks = defaultdict(list)
+    for length, rank, n, *_ in rows:
+        ranks[length] += range(rank, rank + n)
+    assert {k: sorted(v) for k, v in ranks.items()} == {k: list(range(v)) for k, v in hist.items() if v}
+    return [(length, first + i, offset) for length, _, n, first, offset in rows for i in range(n)], bins
+
+
+def brute_sum_of_squares(hist, budget):
+    """Each piece in turn, longest first: every open bin is tried, and the whole sum of squares counted."""
+    bins = []  # [gap, latest use, lengths]
+    for at, length in enumerate(sorted(Counter(hist).elements(), reverse=True)):
+        best = None
+        gaps = Counter(b[0] for b in bins if b[0])
+        for gap in sorted({b[0] for b in bins if b[0] >= length}):
+            after = gaps + Counter()
+            after[gap] -= 1
+            if gap > length:
+                after[gap - length] += 1
+            total = sum(v * v for v in after.values())
+            if best is None or total < best[0]:
+                best = total, gap
+        if best is None:
+            bins.append([budget - length, at, [length]])
+        else:
+            own = max((b for b in bins if b[0] == best[1]), key=lambda b: b[1])
+            own[0], own[1] = own[0] - length, at
+            own[2].append(length)
+    return Counter(tuple(b[2]) for b in bins)
+
+
+def test_plan_matches_brute_force():
+    for seed in range(8):
+        rnd = random.Random(seed)
+        top = rnd.choice([9, 40, 90])
+        hist = dict(Counter(rnd.randint(1, top) for _ in range(250)))
+        placed, bins = placements(hist, 100, runs=10**9)
+        own = defaultdict(list)
+        for length, own_bin, offset in placed:
+            own[own_bin].append((offset, length))
+        assert bins == check_places(placed, 100) == len(own)
+        assert Counter(tuple(x for _, x in sorted(v)) for v in own.values()) == brute_sum_of_squares(hist, 100)
+
+
 def test_sum_of_squares_is_close_to_the_bound():
     rnd = random.Random(1)
     hist = Counter(rnd.randint(1, 1023) for _ in range(3000))
-    placed, bins = packing.pack_lengths(hist, 1024)
+    placed, bins = placements(hist, 1024)
     assert Counter(p[0] for p in placed) == hist
     assert check_places(placed, 1024) == bins
     assert bins <= 1.025 * sum(k * v for k, v in hist.items()) / 1024  # as many as best-fit decreasing takes
 
 
-def test_plan_of_a_large_histogram_covers_every_rank():
+def best_fit_decreasing(hist, budget):
+    count, bins = Counter(), 0
+    for length in sorted(Counter(hist).elements(), reverse=True):
+        gap = min((g for g, n in count.items() if n and g >= length), default=None)
+        bins += gap is None
+        gap = budget if gap is None else gap
+        count[gap] -= gap < budget
+        count[gap - length] += 1
+        count[0] = 0
+    return bins
+
+
+def test_runs_cost_no_bins():
+    """Runs instead of single pieces: as many bins as best-fit decreasing, and the plan hardly grows."""
     rnd = random.Random(2)
-    hist = Counter(rnd.choice([1, 7, 300, 511, 512, 900]) for _ in range(5000))
-    stages, places = packing.plan(hist, 1024, most=700)
-    for length, n in hist.items():
-        own = stages[stages.length == length].sort_values("first_rank")
-        assert own.first_rank.iloc[0] == 0 and own.end_rank.iloc[-1] == n and (own.first_rank.values[1:] == own.end_rank.values[:-1]).all()
-    pieces = []
-    for s in stages.itertuples():
-        mine = places[(places.stage == s.stage) & (places.length == s.length)]
-        assert len(mine) * s.copies == s.end_rank - s.first_rank
-        pieces += [(p.length, s.base + p.bin * s.copies + c, p.offset) for p in mine.itertuples() for c in range(s.copies)]
-    bins = check_places(pieces, 1024)
-    assert bins <= 1.01 * packing.pack_lengths(hist, 1024)[1] + 5
+    few = Counter(rnd.choice([1, 7, 300, 511, 512, 900]) for _ in range(20_000))
+    many = Counter(rnd.randint(1, 1023) for _ in range(20_000))
+    for hist in (few, many):
+        placed, bins = placements(hist, 1024)
+        assert check_places(placed, 1024) == bins <= best_fit_decreasing(hist, 1024)
+    for times in (1, 1000, 1_000_000):
+        huge = {k: v * times for k, v in few.items()}
+        rows, bins = packing.plan(huge, 1024)
+        assert len(rows) < 6 * 3 * packing.RUNS * np.log(max(huge.values())) and bins <= times * best_fit_decreasing(few, 1024)
+        slots = packing._slots(huge, rows)
+        assert (slots.end_rank - slots.first_rank).sum() == sum(huge.values()) and len(slots) <= len(rows) + 6 * packing.SLOTS
+
+
+def test_other_tokenizer_files_are_left_to_the_library(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "prefix.json").write_text(json.dumps(spec))
+    own = packing.ByteTokenizer(str(tmp_path / "prefix.json"))
+    assert own.fast is None and own.ids("word") == own.library.encode(" word", add_special_tokens=False).ids
+    spec["pre_tokenizer"]["add_prefix_space"] = False
+    spec["model"]["merges"][5], spec["model"]["merges"][9] = spec["model"]["merges"][9], spec["model"]["merges"][5]
+    (tmp_path / "merges.json").write_text(json.dumps(spec))
+    assert packing.ByteTokenizer(str(tmp_path / "merges.json")).fast is None
 
 
 def test_tokenizer_paths_agree():
