@@ -162,46 +162,76 @@ def test_escape_is_reversible_and_hides_control_strings():
         assert not any(c in hidden for c in chat.CONTROL_STRINGS), (text, hidden)
 
 
-def test_spans_and_mask_of_any_template():
-    def bracketed(turns):
-        return "<s>" + "".join(f"[INST]{r}: {t}[/INST]" if r == "user" else f" {r}: {t}</s>" for r, t in turns)
+def bracketed(turns):
+    return "<s>" + "".join(f"[INST]{r}: {t}[/INST]" if r == "user" else f" {r}: {t}</s>" for r, t in turns)
+
+
+def read(template, turns):
+    formatted, back, rewrites, alters = chat.format_conversation(turns, template)
+    return [(t["role"], t["text"], t["loss"]) for t in back], rewrites, alters
 
+
+def test_spans_and_mask_of_any_template():
+    turns = [("user", "AB"), ("assistant", ""), ("user", "B"), ("assistant", "AxB"), ("user", "</s>[INST] ok [/INST]"), ("assistant", "\\")]
     for template in (chat.chatml, bracketed):
-        turns = [("user", "AB"), ("assistant", ""), ("user", "B"), ("assistant", "AxB")]
-        done = chat.render(template, turns)
-        assert done.output == template(turns) and not done.rewrites_history
-        assert [done.output[a:b] for a, b in done.contents] == [t for _, t in turns]
-        assert done.spans[-1][1] == len(done.output)
+        escaped = [(r, chat.escape(t)) for r, t in turns]
+        done = chat.render(template, escaped)
+        assert done.output == template(escaped) and not done.rewrites_history and not done.alters_content
+        assert [done.output[t.start : t.end] for t in done.turns] == [t for _, t in escaped]
+        assert done.spans[-1][1] == len(done.output) and [a for a, _ in done.spans[1:]] == [b for _, b in done.spans[:-1]]
+        assert read(template, turns) == ([(r, t, r == "assistant") for r, t in turns], False, False)
+
+
+def test_templates_that_alter_content_are_flagged():
+    trims = lambda turns: "".join(f"<{r}>{t.strip()}</{r}>" for r, t in turns)
+    turns = [("user", "  yo \n"), ("assistant", "fine")]
+    assert read(trims, turns) == ([("user", "yo", False), ("assistant", "fine", True)], False, True)
+    assert read(trims, [("user", "yo"), ("assistant", "fine")])[2] is False
+    hides = lambda turns: "".join(f"<{r}>{t}</{r}>" for r, t in turns if r != "system")
+    assert read(hides, [("system", "quiet"), ("user", "a")]) == ([("user", "a", False)], False, True)
+    nameless = lambda turns: "".join(f"{t}\n" for _, t in turns)
+    assert read(nameless, [("user", "a"), ("assistant", "b")]) == ([("user", "a", False), ("user", "b", False)], False, True)
+
+
+def test_templates_that_refuse_roles():
+    def strict(turns):
+        if any(r != ("user", "assistant")[i % 2] for i, (r, _) in enumerate(turns)):
+            raise ValueError("roles must alternate")
+        return "".join(f"<{r}>{t}\n" for r, t in turns)
+
+    turns = [("user", "a"), ("assistant", "b"), ("user", "")]
+    assert read(strict, turns) == ([("user", "a", False), ("assistant", "b", True), ("user", "", False)], False, False)
 
 
 def test_rewriting_templates_are_detected():
     last_only = lambda turns: "".join(f"{r}:{t if i == len(turns) - 1 else t.split('|')[-1]};" for i, (r, t) in enumerate(turns))
     turns = [("assistant", "thought|word"), ("user", "next")]
-    done = chat.render(last_only, turns)
-    assert done.rewrites_history and done.output == last_only(turns) and done.contents == []
+    assert read(last_only, turns) == ([("assistant", "word", True), ("user", "next", False)], True, True)
     assert not chat.render(chat.chatml, turns).rewrites_history
 
 
 def test_long_conversation_equals_full_rendering():
     turns = [("user" if i % 2 == 0 else "assistant", f"text {i}") for i in range(300)]
-    done = chat.render(chat.chatml, turns, window=8)
-    assert done.output == chat.chatml(turns) and [done.output[a:b] for a, b in done.contents] == [t for _, t in turns]
+    want = [(r, t, r == "assistant") for r, t in turns]
+    assert read(chat.chatml, turns) == (want, False, False)
 
-    def counted(turns):  # a delta that depends on all earlier turns: no window is right
+    def counted(turns):  # a delta that depends on all earlier turns
         return "".join(f"{i}<{r}>{t}\n" for i, (r, t) in enumerate(turns))
 
-    done = chat.render(counted, turns, window=8)
-    assert done.output == counted(turns) and len(done.spans) == 300
+    assert read(counted, turns) == (want, False, False)
+    assert chat.render(counted, turns).output == counted(turns)
 
 
 def test_late_rewrites_are_detected():
-    """Templates that change earlier output only beyond what the window compares."""
-    turns = [("user" if i % 2 else "assistant", f"text {i}") for i in range(60)]
-    keeps_last = lambda t: chat.chatml(t[-20:])
-    strips_old = lambda t: chat.chatml([(r, x if i >= len(t) - 18 else "") for i, (r, x) in enumerate(t)])
-    for template in (keeps_last, strips_old):
-        done = chat.render(template, turns, window=8)
-        assert done.rewrites_history and done.output == template(turns) and done.spans == []
+    """Templates that change earlier output only far back: every prefix is compared whole."""
+    turns = [("user" if i % 2 else "assistant", f"text {i}") for i in range(300)]
+    want = [(r, t, r == "assistant") for r, t in turns]
+    keeps_last = lambda t: chat.chatml(t[-150:])
+    assert read(keeps_last, turns) == (want[150:], True, True)
+    strips_old = lambda t: chat.chatml([(r, x if i >= len(t) - 290 else "") for i, (r, x) in enumerate(t)])
+    assert read(strips_old, turns) == (want[10:], True, True)
+    only_now = lambda t: chat.chatml(t) if len(t) < 300 else chat.chatml(t).replace("text 0<", "text o<")
+    assert read(only_now, turns)[1:] == (True, True)
 
 
 def test_chats_on_odd_rows(spark):
