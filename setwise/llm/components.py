@@ -13,13 +13,14 @@ def _checksum(edges: DataFrame) -> tuple:
     return row["n"], row["s"]
 
 
-def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(node, component) of every node with an edge; the component is its smallest node. ``edges``: a, b (long).
 
     Self-loops and repeated edges are allowed. The rounds grow with the logarithm of the longest path. Each
     round's edges are written, and a hub's edges are joined to its minimum from written tables, so that a
     large partition can be split.
     """
+    scratch = Scratch(edges.sparkSession, "components")
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     edges = scratch.save(edges, "edges")
     before = _checksum(edges)
@@ -31,7 +32,8 @@ def components(scratch: Scratch, edges: DataFrame, most_rounds: int = 100) -> Da
         least = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = scratch.save(small, "edges")
+        old, edges = edges, scratch.save(small, "edges")
+        scratch.drop(old)
         now = _checksum(edges)
         if now == before:
             break

@@ -1,21 +1,23 @@
 """Operator 5, near-dedup by MinHash bands and odd sketches.
 
-1. Every text gives its set of 5-word shingles, a 128-bit fingerprint of the set and 32 MinHash bands.
-   Texts with equal sets form one class; from here on classes count, so copies cost nothing more.
-2. Classes that share a band are candidates. Each is first compared with its bucket's representative only.
-3. Candidates are judged by odd sketches: parity bitmaps of the classes' MinHash samples, whose XOR population
-   count gives the size of the samples' symmetric difference. A class of up to 1024 shingles is its own sample;
-   then the count never exceeds the difference, so a count over a seventh of both sizes rules a link out for
-   certain. Sampled pairs are dropped when they come out well under the threshold. The others are confirmed
-   on their full sets.
+1. Every text gives its set of 5-word shingles, a fingerprint of the set and 60 MinHash bands. Texts with equal
+   sets form one class; from here on classes count, so copies cost nothing more.
+2. Classes that share a band are candidates. Each is first compared with one leader of its bucket; large buckets
+   that this leaves open get further leaders, drawn by hash. That links most of a group at linear cost.
+3. Candidates are judged by odd sketches: parity bitmaps of the classes' MinHash samples (here the whole sets, with
+   at least a bit a shingle), whose XOR population count estimates the sets' difference. It never exceeds it, so
+   a count of over a seventh of both sizes rules a link out for certain. All others are confirmed on full sets.
 4. Links give components. What is still open are pairs of one bucket in different components: these are
    joined with the sketch comparison as the join's condition, confirmed, and the components are finished.
+   The join is by bucket and size class (a link's sizes are within 4/3), and large buckets are laid out in tiles, so
+   that no task has more than a tile of pairs.
 
 So a bucket of near copies costs about its size, and no pair that shares a band is left unjudged.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +31,15 @@ from .components import components
 
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: How far under the threshold the estimate of a sampled pair may be: more than six standard errors.
-SAMPLED_SLACK = 0.12
+#: Rounds of further leaders, for open buckets of so many members.
+LEADER_ROUNDS, LEADER_SIZE = 2, 64
+#: Members of a bucket on a side of a tile, and the logarithm of a size class (a hair over a link's most).
+TILE, SIZE_STEP = 4000, math.log(100 / PERCENT) * 1.0001
 
-_WORDS = sh.BITS // 64
-_FINE, _COARSE = [f"f{i}" for i in range(_WORDS)], [f"c{i}" for i in range(_WORDS)]
-SKETCH = ["n", "level", "nf", "nc", *_FINE, *_COARSE]
+_NARROW = [f"f{i}" for i in range(sh.BITS // 64)]
+#: Levels 0 and 1 are compared on ``f*`` (level 1 folded) unless both are 1; others on ``wide`` and its fold, ``half``.
+SKETCH = ["n", "level", *_NARROW]
+WIDE = ["wide", "half"]
 
 
 def _keyed(docs: DataFrame, *more: str | Column) -> DataFrame:
@@ -61,8 +66,16 @@ def signatures(docs: DataFrame) -> DataFrame:
     return made.select("doc_id", "row_key", "text_key", F.col("s.n").alias("n_shingles"), F.col("s.fingerprint").alias("fingerprint"), F.col("s.bands").alias("bands"))
 
 
-_FIELDS = [*[(c, pa.int64()) for c in SKETCH], ("shingles", pa.list_(pa.int64()))]
-_MEMBER_DDL = "struct<" + ",".join([*[f"{c}:bigint" for c in SKETCH], "shingles:array<bigint>"]) + ">"
+_FIELDS = [*[(c, pa.int64()) for c in SKETCH], *[(c, pa.list_(pa.int64())) for c in [*WIDE, "shingles"]]]
+_MEMBER_DDL = "struct<" + ",".join([*[f"{c}:bigint" for c in SKETCH], *[f"{c}:array<bigint>" for c in [*WIDE, "shingles"]]]) + ">"
+
+
+def _member(shingles: np.ndarray) -> list:
+    level = sh.level_of(len(shingles))
+    sketch = sh.odd_sketch(shingles, level)
+    half = sh.folded(sketch) if level else None
+    narrow = (sketch if level == 0 else half).tolist() if level < 2 else [0] * len(_NARROW)
+    return [len(shingles), level, *narrow, sketch if level else None, half, shingles.view(np.int64)]
 
 
 def members(docs: DataFrame, needed: DataFrame) -> DataFrame:
@@ -75,13 +88,8 @@ def members(docs: DataFrame, needed: DataFrame) -> DataFrame:
             columns: list[list] = [[] for _ in _FIELDS]
             for expected, text in zip(prints.to_pylist(), texts):
                 s = sh.shingle_set(text.as_py())
-                if sh.fingerprint(s) != expected:  # another row with the same keys
-                    row = [None] * len(_FIELDS)
-                else:
-                    level = sh.level_of(len(s))
-                    (fine, nf), (coarse, nc) = sh.odd_sketch(s, level), sh.odd_sketch(s, level + 1)
-                    row = [len(s), level, nf, nc, *fine.tolist(), *coarse.tolist(), s.view(np.int64)]
-                for column, value in zip(columns, row):
+                same = sh.fingerprint(s) == expected  # else another row with the same keys
+                for column, value in zip(columns, _member(s) if same else [None] * len(_FIELDS)):
                     column.append(value)
             yield pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, _FIELDS)], names=[n for n, _ in _FIELDS])
 
@@ -91,29 +99,32 @@ def members(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return once.select("cid", sketched("fingerprint", "text").alias("m")).select("cid", "m.*")
 
 
-def similar_enough(a: str, b: str) -> Column:
-    """Whether the classes' sketches allow a link; ``a``, ``b``: prefixes of the two sides' sketch columns."""
-    col = lambda side, name: F.col(f"{side}{name}")
-    same, a_finer = col(a, "level") == col(b, "level"), col(a, "level") < col(b, "level")
-    flips = None
-    for fine, coarse in zip(_FINE, _COARSE):
-        x = F.when(a_finer, col(a, coarse)).otherwise(col(a, fine))
-        y = F.when(same | a_finer, col(b, fine)).otherwise(col(b, coarse))
-        bits = F.bit_count(x.bitwiseXOR(y))
-        flips = bits if flips is None else flips + bits
-    total = F.when(a_finer, col(a, "nc")).otherwise(col(a, "nf")) + F.when(same | a_finer, col(b, "nf")).otherwise(col(b, "nc"))
-    # E[flips] = bits/2 * (1 - (1 - 2/bits)^d): d is the size of the samples' symmetric difference
-    left = F.greatest(F.lit(1.0) - F.lit(2.0) * flips / F.lit(float(sh.BITS)), F.lit(1e-9))
-    differ = F.log(left) / F.log(F.lit(1.0 - 2.0 / sh.BITS))
-    estimate = (total - differ) / (total + differ)
-    # unsampled: the difference is at least `flips`, and a link's is at most (100 - p) / (100 + p) of both sizes
-    possible = F.when(same & (col(a, "level") == 0), (100 + PERCENT) * flips <= (100 - PERCENT) * total).otherwise(estimate >= F.lit(PERCENT / 100.0 - SAMPLED_SLACK))
-    sizes = F.lit(100) * F.least(col(a, "n"), col(b, "n")) >= F.lit(PERCENT) * F.greatest(col(a, "n"), col(b, "n"))
-    return sizes & possible
+def _narrow_flips(a: str, b: str) -> Column:
+    flips = [F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}"))) for c in _NARROW]
+    return sum(flips[1:], flips[0])
+
+
+def _wide_flips(a: str, b: str) -> Column:
+    """The side of the higher level is folded."""
+    la, lb = F.col(f"{a}level"), F.col(f"{b}level")
+    x = F.when(la <= lb, F.col(f"{a}wide")).otherwise(F.col(f"{a}half"))
+    y = F.when(lb <= la, F.col(f"{b}wide")).otherwise(F.col(f"{b}half"))
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, v: n + v)
+
+
+def similar_enough(a: str, b: str, flips: Column) -> Column:
+    """Whether sizes and sketches allow a link; ``a``, ``b``: prefixes of the two sides' columns. Rules out no link:
+    of a link the difference is at most (100 - p) / (100 + p) of both sizes, and the flips are fewer still."""
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
+    return (F.lit(100) * F.least(na, nb) >= F.lit(PERCENT) * F.greatest(na, nb)) & ((100 + PERCENT) * flips <= (100 - PERCENT) * (na + nb))
+
+
+def _is_narrow(a: str, b: str) -> Column:
+    return F.col(f"{a}level") + F.col(f"{b}level") <= 1
 
 
 def _sided(sketches: DataFrame, side: str, key: str) -> DataFrame:
-    return sketches.select(F.col("cid").alias(key), *[F.col(c).alias(f"{side}{c}") for c in SKETCH])
+    return sketches.select(F.col("cid").alias(key), *[F.col(c).alias(f"{side}{c}") for c in [*SKETCH, *WIDE]])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -124,18 +135,50 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(100 * shared >= PERCENT * (F.size("set_a") + F.size("set_b") - shared)).select("a", "b")
 
 
+def _star_links(scratch: Scratch, stars: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    """The confirmed links among pairs (a, b) of members and leaders."""
+    flips = F.when(_is_narrow("a_", "b_"), _narrow_flips("a_", "b_")).otherwise(_wide_flips("a_", "b_"))
+    both = stars.distinct().join(_sided(sketches, "a_", "a"), "a").join(_sided(sketches, "b_", "b"), "b")
+    judged = scratch.save(both.where(similar_enough("a_", "b_", flips)).select("a", "b"), "star-pairs")
+    links = scratch.save(confirmed(judged, sets), "star-links")
+    scratch.drop(judged)
+    return links
+
+
+def _open_pairs(left: DataFrame, columns: list[str], enough: Column) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components that ``enough`` lets through, each from its first open bucket.
+
+    ``left``: bucket, tiles, cid, component, size_class, bands, *columns. A member of tile i meets tile j in the cell
+    (i, j), and the sizes a link allows lie in the same or the next size class.
+    """
+    tile, every = F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"), F.sequence(F.lit(0), (F.col("tiles") - 1).cast("int"))
+    one = left.withColumn("ta", tile).withColumn("tb", F.explode(every))
+    one = one.select("bucket", "size_class", "ta", "tb", F.col("cid").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"a_{c}") for c in columns])
+    two = left.withColumn("tb", tile).withColumn("ta", F.explode(every)).withColumn("size_class", F.explode(F.array(*[F.col("size_class") + i for i in (-1, 0, 1)])))
+    two = two.select("bucket", "size_class", "ta", "tb", F.col("cid").alias("b"), F.col("component").alias("cb"), *[F.col(c).alias(f"b_{c}") for c in columns])
+    two = two.select(*[F.col(c).alias(f"r_{c}") if c in ("bucket", "size_class", "ta", "tb") else c for c in two.columns])
+    same = [F.col(c) == F.col(f"r_{c}") for c in ("bucket", "size_class", "ta", "tb")]
+    # every bucket that two components share is open, so the first shared one can speak for the pair
+    first = F.element_at(F.filter(F.zip_with("a_bands", "b_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1)
+    passed = one.join(two, same[0] & same[1] & same[2] & same[3] & (F.col("ca") < F.col("cb")) & enough)
+    return passed.where(first == F.col("bucket")).select("a", "b")
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text), with row_key and text_key.
 
     A component is named by its smallest doc_id; kept: the row's doc_id is that. Null and empty texts have
     an empty set and are linked with nothing. Null doc_ids rank after all others: a component of null ids
-    alone has a null name and its rows are kept. Rows that repeat a doc_id count as rows of their own.
-    ``docs`` is read twice, so it should be a scan or a written table.
+    alone has a null name and its rows are kept. Rows that repeat a doc_id count as rows of their own. Very
+    long texts are compared on all their shingles; ties with the threshold are links; an empty table gives no
+    rows; extra columns are ignored. ``docs`` is read twice, so it should be a scan or a written table.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "near")
-    signed = scratch.save(signatures(docs), "signatures")
-    classes = signed.where("n_shingles > 0").groupBy("fingerprint").agg(F.min("doc_id").alias("first_doc"), F.min(F.struct("row_key", "text_key")).alias("row"), F.first("bands").alias("bands"))
+    scratch, result = Scratch(spark, "near"), Scratch(spark, "near-result")
+    signed = result.save(signatures(docs), "signatures")
+    classes = signed.where("n_shingles > 0").groupBy("fingerprint").agg(
+        F.min("doc_id").alias("first_doc"), F.min(F.struct("row_key", "text_key")).alias("row"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")
+    )
     classes = scratch.save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     banded = classes.select("cid", F.explode("bands").alias("bucket"))
@@ -143,37 +186,47 @@ def near_components(docs: DataFrame) -> DataFrame:
     inside = scratch.save(banded.join(shared, "bucket"), "inside")
     needed = classes.select("cid", "fingerprint", "row.row_key", "row.text_key").join(inside.select("cid").distinct(), "cid")
     sets = scratch.save(members(docs, needed), "members").where("n is not null")
-    sketches = sets.select("cid", *SKETCH)
-
-    stars = inside.where("cid <> head").select(F.col("cid").alias("a"), F.col("head").alias("b")).distinct()
-    judged = stars.join(_sided(sketches, "a_", "a"), "a").join(_sided(sketches, "b_", "b"), "b").where(similar_enough("a_", "b_")).select("a", "b")
-    links = scratch.save(confirmed(scratch.save(judged, "star-pairs"), sets), "star-links")
-    found = scratch.save(components(scratch, links), "star-components")
-
-    labelled = inside.select("bucket", "cid").join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    labelled = scratch.save(labelled, "labelled")
-    still_open = scratch.save(labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket"), "open")
-    left = scratch.save(labelled.join(still_open, "bucket").join(sketches, "cid").join(classes.select("cid", "bands"), "cid"), "open-members")
-    columns = [*SKETCH, "bands"]
-    one = left.select("bucket", F.col("cid").alias("a"), F.col("component").alias("ca"), *[F.col(c).alias(f"a_{c}") for c in columns])
-    two = left.select(F.col("bucket").alias("b_bucket"), F.col("cid").alias("b"), F.col("component").alias("cb"), *[F.col(c).alias(f"b_{c}") for c in columns])
-    # every bucket that two components share is open, so the first shared one can speak for the pair
-    first = F.element_at(F.filter(F.zip_with("a_bands", "b_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull()), 1)
-    rest = one.join(two, (F.col("bucket") == F.col("b_bucket")) & (F.col("ca") < F.col("cb")) & similar_enough("a_", "b_") & (first == F.col("bucket"))).select("a", "b")
-    more = scratch.save(confirmed(scratch.save(rest, "rest-pairs"), sets), "rest-links")
+    sketches = sets.select("cid", *SKETCH, *WIDE)
+
+    links = _star_links(scratch, inside.where("cid <> head").select(F.col("cid").alias("a"), F.col("head").alias("b")), sketches, sets)
+    found = scratch.save(components(links), "components")
+    for turn in range(LEADER_ROUNDS + 1):
+        labelled = inside.select("bucket", "cid").join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        labelled = scratch.save(labelled, "labelled")
+        by_bucket = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.min_by(F.struct("cid", "component"), F.xxhash64("cid", F.lit(turn))).alias("leader"))
+        still_open = scratch.save(by_bucket.where("lo < hi").select("bucket", "size", "leader"), "open")
+        if turn == LEADER_ROUNDS or not still_open.where(F.col("size") >= LEADER_SIZE).take(1):
+            break
+        led = labelled.join(still_open.where(F.col("size") >= LEADER_SIZE), "bucket").where("component <> leader.component")
+        more = _star_links(scratch, led.select(F.col("cid").alias("a"), F.col("leader.cid").alias("b")), sketches, sets)
+        if not more.take(1):
+            continue
+        found = scratch.save(components(_joined(found, more)), "components")
+
+    tiles = F.ceil(F.col("size") / F.lit(TILE)).cast("int").alias("tiles")
+    left = labelled.join(still_open.select("bucket", tiles), "bucket").join(sketches, "cid").join(classes.select("cid", "bands"), "cid")
+    left = scratch.save(left.withColumn("size_class", F.floor(F.log("n") / F.lit(SIZE_STEP)).cast("int")), "open-members")
+    narrow = _open_pairs(left.where("level <= 1"), [*SKETCH, "bands"], similar_enough("a_", "b_", _narrow_flips("a_", "b_")) & _is_narrow("a_", "b_"))
+    wide = _open_pairs(left.where("level >= 1"), ["n", "level", *WIDE, "bands"], similar_enough("a_", "b_", _wide_flips("a_", "b_")))
+    rest = scratch.save(narrow.unionByName(wide), "rest-pairs")
+    more = scratch.save(confirmed(rest, sets), "rest-links")
     if more.take(1):
-        joined = found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-        found = scratch.save(components(scratch, joined), "components")
+        found = scratch.save(components(_joined(found, more)), "components")
 
     placed = classes.select("cid", "fingerprint", "first_doc").join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     placed = scratch.save(placed, "placed")
     named = scratch.save(placed.groupBy("component").agg(F.min("first_doc").alias("component_id")), "named")
-    of_class = scratch.save(placed.select("fingerprint", "component").join(named, "component").select("fingerprint", "component_id"), "of-class")
+    of_class = result.save(placed.select("fingerprint", "component").join(named, "component").select("fingerprint", "component_id"), "of-class")
+    scratch.clear()
     out = signed.select("doc_id", "row_key", "text_key", "n_shingles", "fingerprint").join(of_class, "fingerprint", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "row_key", "text_key", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    return found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links)
+
+
 def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each component stays; columns unchanged.
 

@@ -298,26 +298,78 @@ def test_near_dedup_on_odd_rows(odd_docs, no_docs):
 
 
 def test_odd_sketch_bounds_the_difference():
-    rnd = random.Random(8)
-    a = sh.shingle_set(prose(1, " ".join(f"v{i}" for i in range(900)), 400))
-    b = sh.shingle_set(prose(2, " ".join(f"v{i}" for i in range(900)), 400))
-    both = sorted(set(a.tolist()) | set(b.tolist()))
     import numpy as np
 
-    for _ in range(50):
-        one, two = (np.array(sorted(rnd.sample(both, 500)), np.uint64) for _ in range(2))
-        flips = np.bitwise_count((sh.odd_sketch(one, 0)[0] ^ sh.odd_sketch(two, 0)[0]).view(np.uint64)).sum()
+    rnd = random.Random(8)
+    both = sorted({rnd.getrandbits(64) for _ in range(9000)})
+    for n in (500, 500, 1500, 3000, 6000) * 8:
+        one = np.array(sorted(rnd.sample(both, n)), np.uint64)
+        keep = rnd.sample(one.tolist(), int(n * rnd.uniform(0.76, 1)))
+        two = np.array(sorted(set(keep) | set(rnd.sample(both, n // 12))), np.uint64)
+        a, b = (sh.odd_sketch(s, sh.level_of(len(s))) for s in (one, two))
+        assert len(a) * 64 >= n
+        if len(a) > len(b):
+            a = sh.folded(a)
+        elif len(b) > len(a):
+            b = sh.folded(b)
+        assert len(a) == len(b)
+        flips = int(np.bitwise_count((a ^ b).view(np.uint64)).sum())
         differ = len(set(one.tolist()) ^ set(two.tolist()))
-        assert flips <= differ and (differ - flips) % 2 == 0 and flips > 0.6 * min(differ, 400)
+        assert flips <= differ and (differ - flips) % 2 == 0 and flips > 0.55 * min(differ, 32 * len(a))
+        assert (sh.folded(sh.odd_sketch(one, 3)) == sh.odd_sketch(one, 2)).all()
+
+
+def long_rows():
+    """Texts of 900 to 5,000 shingles, in pairs just over and just under the threshold, across levels of the sketch."""
+    rnd, rows, at = random.Random(31), [], 0
+    for n in (900, 1020, 1100, 1900, 2040, 2200, 3000, 4090, 4500, 5000):
+        for drop in (0.10, 0.135, 0.16, 0.24):  # J = 0.82, 0.76, 0.72, 0.61 with whole words replaced at one end
+            words = [f"n{at}w{i}" for i in range(n + 4)]
+            cut = int(n * drop)
+            rows += [(at, " ".join(words)), (at + 1, " ".join(words[cut:] + [f"o{at}w{i}" for i in range(cut)]))]
+            # and one that is shorter by as much as a link allows, so that levels differ
+            rows.append((at + 2, " ".join(words[int(n * rnd.choice([0.2, 0.245, 0.27])) :])))
+            at += 3
+    return rows
+
+
+def test_long_texts_match_brute_force(spark):
+    rows = long_rows()
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4).persist()
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_components(docs).collect())
+    want = brute_near(rows)
+    assert got == want
+    assert 20 < sum(k[3] for k in want) < len(rows) - 20  # links and near misses
+
+
+def test_open_buckets_of_any_layout(spark, monkeypatch):
+    """Unlike texts around a shared passage, near copies whose first member is an outlier, leaders and tiles of every size."""
+    rnd = random.Random(5)
+    words = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(150):  # similarities from 0.4 to 0.8 around one passage
+        tail = [f"t{i}x{j}" for j in range(rnd.choice([4, 10, 16, 24]))]
+        rows.append((1000 + i, " ".join(words + tail)))
+    base = [f"c{i}" for i in range(100)]
+    rows.append((0, " ".join(base[:50] + [f"q{i}" for i in range(12)] + base[62:])))
+    rows += [(1 + i, " ".join(base[: 99 - i % 3] + [f"z{i}"])) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4).persist()
+    want = brute_near(rows)
+    for tile, size, rounds in ((7, 10, 2), (4000, 1000, 0)):
+        monkeypatch.setattr(near_dedup, "TILE", tile)
+        monkeypatch.setattr(near_dedup, "LEADER_SIZE", size)
+        monkeypatch.setattr(near_dedup, "LEADER_ROUNDS", rounds)
+        got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_components(docs).collect())
+        assert got == want, (tile, size, rounds)
 
 
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
     rnd = random.Random(1)
     rnd.shuffle(edges)
-    got = {r["node"]: r["component"] for r in components(Scratch(spark, "test"), spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}, 200: 200, 201: 200}
-    assert components(Scratch(spark, "test"), spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
 # pipeline
