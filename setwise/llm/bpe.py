@@ -35,22 +35,41 @@ _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PLAIN_PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
+#: The normaliser and pre-tokenizer of such files, which the plain paths above rely on.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def expected(spec: dict) -> bool:
+    """Whether the file is a word-end BPE with the normaliser, pre-tokens, added tokens and decoder relied on here."""
+    model, added = spec["model"], spec.get("added_tokens") or []
+    plain_model = model.get("type") == "BPE" and model.get("end_of_word_suffix") and not any(model.get(k) for k in ("continuing_subword_prefix", "dropout", "ignore_merges", "byte_fallback"))
+    plain_tokens = not any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+    pre = spec.get("pre_tokenizer") or {}
+    same = spec.get("normalizer") == _NORMALIZER and pre.get("type") == "Sequence" and pre.get("pretokenizers") == _PRE_TOKENIZERS
+    return bool(plain_model and plain_tokens and same and not spec.get("decoder") and not spec.get("post_processor"))
+
+
 class ForcedBoundaryCodec:
-    """Encoder and decoder for one tokenizer file of the word-end BPE kind."""
+    """Encoder and decoder for one tokenizer file of the word-end BPE kind; other files are left to the library."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.suffix = spec["model"].get("end_of_word_suffix") or ""
-        if not self.suffix or spec["model"].get("continuing_subword_prefix") or spec.get("decoder"):
-            raise ValueError("a BPE with word ends and no decoder is expected")
+        spec = spec | {"truncation": None, "padding": None}
         self.whole = Tokenizer.from_str(json.dumps(spec))
+        self.usual = expected(spec)
+        if not self.usual:
+            return
+        self.suffix = spec["model"]["end_of_word_suffix"]
         spec["model"]["end_of_word_suffix"] = None
         self.inner = Tokenizer.from_str(json.dumps(spec))
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
-            raise ValueError("plain added tokens are expected")
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.marks = [k.encode() for k in self.special]
         self.inside = set()
@@ -123,6 +142,9 @@ class ForcedBoundaryCodec:
 
     def encode_raw(self, text: str | None) -> Coded:
         """The code of a whole text; null counts as empty."""
+        if not self.usual:
+            ids = self.whole.encode(text or "", add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}i", *ids), self.decode(ids).encode()
         cache = self.words
         words = (text or "").encode("utf-8", "surrogatepass").split()
         found = list(map(cache.get, words))
@@ -142,6 +164,8 @@ class ForcedBoundaryCodec:
         return np.frombuffer(self.encode_raw(text)[0], "<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
+        if not self.usual:
+            return self.whole.decode(ids, skip_special_tokens=False)
         return " ".join([self.token_of[i] for i in ids])
 
 
@@ -154,8 +178,9 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", into: str = "b
     """Add the struct column ``into``: ids array<int> and decoded string. No shuffle.
 
     Null and empty texts: no ids, empty string. Special tokens' strings in a text become their ids, as the
-    library does. Very long texts and words are encoded whole. Repeated rows each on their own; other
-    columns pass through. ``path`` must exist on every executor (it comes with an installed package).
+    library does. Very long texts and words are encoded whole; merges of equal rank go left to right. Repeated
+    rows each on their own, null ids too; an empty table gives no rows. Other columns pass through; one already
+    called ``into`` is replaced. ``path`` must exist on every executor (it comes with an installed package).
     """
     bound_batches(docs.sparkSession)
 

@@ -306,6 +306,22 @@ def test_codec_equals_library_on_random_texts():
         assert decoded.decode() == own.decode(ids) == library.decode(ids, skip_special_tokens=False), repr(text)
 
 
+def test_other_files_are_left_to_the_library(tmp_path):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"]["normalizers"].pop()  # no lower-casing
+    (tmp_path / "cased.json").write_text(json.dumps(spec))
+    own, library = bpe.codec(str(tmp_path / "cased.json")), Tokenizer.from_file(str(tmp_path / "cased.json"))
+    byte_level = public_tokenizers.path("byte_bpe_50k.json")
+    assert bpe.codec(PATH).usual and not own.usual and not bpe.codec(byte_level).usual
+    for codec, lib in ((own, library), (bpe.codec(byte_level), Tokenizer.from_file(byte_level))):
+        for text in (None, "", "Words AND Ünicode 12's", "<|endoftext|> a"):
+            ids = lib.encode(text or "", add_special_tokens=False).ids
+            assert codec.encode(text) == ids and codec.encode_raw(text)[1].decode() == lib.decode(ids, skip_special_tokens=False)
+
+
 def test_forced_boundaries_exist_and_are_outside_tokens():
     own = bpe.codec(PATH)
     parts = own.cuts("aqzjb")
