@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import flip_rate
+from .config import EPSILON_GRID, Config, flip_rate
 from .functions import mathx
 from .functions.mathx import ccdf_sql, r6
 from .functions.prng import digest_sql, uniform_sql
@@ -16,6 +16,7 @@ from .plans import evaluate
 from .plans.oracles import CONFIG, SMALLEST, sql
 from .plans.oracles import r6 as s6
 from .sources import tables, text
+from .storage import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,17 +36,26 @@ def register(oracle: str | None = None):
 
 
 class Fixture:
-    """The default baskets with a static partition; every table is described on first use."""
+    """The default baskets with a static partition; every table is described on first use.
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
-        self.items, self.pairs = tables.brand_baskets(spark, sf_dir)
-        self._made: dict[str, DataFrame] = {}
+    With ``stored``, tables that several steps of an answer read are written once, in place of being computed
+    by each of them.
+    """
+
+    STORED = ("pairs", "cohort", "hist", "pair_freq", "oue_hist", "winners", "bins", "minhash_hist", "cross", "asked", "alpha")
+
+    def __init__(self, spark: SparkSession, sf_dir: str, stored: bool = False, config: Config = CONFIG):
+        self.spark, self.sf_dir, self.config = spark, sf_dir, config
+        self.scratch = Scratch(spark, "build") if stored else None
+        self.items, pairs = tables.brand_baskets(spark, sf_dir)
+        self._made: dict[str, DataFrame] = {"pairs": self.scratch.save(pairs, "pairs") if stored else pairs}
 
     def __getattr__(self, name: str) -> DataFrame:
         made = self.__dict__["_made"]
         if name not in made:
             made[name] = getattr(type(self), f"_{name}")(self)
+            if self.scratch is not None and name in self.STORED:
+                made[name] = self.scratch.save(made[name], name)
         return made[name]
 
     def _queries(self):
@@ -55,7 +65,7 @@ class Fixture:
         return self.pairs.select("uid").distinct()
 
     def _cohort(self):
-        return oue.cohorts(self.users, CONFIG.alpha, CONFIG.blocks, SEED)
+        return oue.cohorts(self.users, self.config.alpha, self.config.blocks, SEED)
 
     def _static(self):
         return tree.static_tables(self.spark, tree.static_tree(25, 2, SMALLEST), self.items)
@@ -79,22 +89,22 @@ class Fixture:
         return oue.second_half(self.node_users)
 
     def _hist(self):
-        return oue.noisy_histogram(self.pairs, self.cohort, 25, CONFIG.report_epsilon, SEED)
+        return oue.noisy_histogram(self.pairs, self.cohort, 25, self.config.report_epsilon, SEED)
 
     def _probabilities(self):
         return tails.item_probabilities(self.hist)
 
     def _pair_freq(self):
-        return oue.pair_frequencies(self.pairs, self.node_users, self.node_items, self.sizes, CONFIG.report_epsilon, SEED)
+        return oue.pair_frequencies(self.pairs, self.node_users, self.node_items, self.sizes, self.config.report_epsilon, SEED)
 
     def _oue_hist(self):
-        return oue.intersection_histogram(self.pairs, self.first, self.node_items, self.sizes, CONFIG.report_epsilon, SEED)
+        return oue.intersection_histogram(self.pairs, self.first, self.node_items, self.sizes, self.config.report_epsilon, SEED)
 
     def _winners(self):
-        return minhash.node_signatures(self.pairs, self.second, self.node_items, CONFIG)
+        return minhash.node_signatures(self.pairs, self.second, self.node_items, self.config)
 
     def _bins(self):
-        return minhash.user_bins(self.winners, minhash.set_signatures(self.node_items, ["node_id"], CONFIG), self.sizes, CONFIG)
+        return minhash.user_bins(self.winners, minhash.set_signatures(self.node_items, ["node_id"], self.config), self.sizes, self.config)
 
     def _minhash_hist(self):
         return minhash.bin_histogram(self.bins)
@@ -104,7 +114,7 @@ class Fixture:
         return self.node_items.join(F.broadcast(numbered), "node_id").select("node_id", "item", "leaf")
 
     def _cross(self):
-        return oue.cross_node_frequencies(self.pairs, self.cohort, self.leaves, CONFIG.report_epsilon, SEED)
+        return oue.cross_node_frequencies(self.pairs, self.cohort, self.leaves, self.config.report_epsilon, SEED)
 
     def _node_p(self):
         return tree.node_probabilities(self.node_items, self.probabilities)
@@ -114,7 +124,7 @@ class Fixture:
         return local.select("node_id", "local_id", (F.col("position") - 1).alias("position"))
 
     def _build(self):
-        return tree.Build(CONFIG, self.users.count(), 0, self.hist, self.nodes, self.node_items, self.sizes, self.pair_freq, self.oue_hist, self.minhash_hist, self.winners, self.bins, self.cross)
+        return tree.Build(self.config, self.users.count(), 0, self.hist, self.nodes, self.node_items, self.sizes, self.pair_freq, self.oue_hist, self.minhash_hist, self.winners, self.bins, self.cross)
 
     def _selected(self):
         return answer.select_nodes(self.queries, self.node_items, self.nodes, 2)
@@ -140,25 +150,52 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 # sources and sinks
 
 
-@register(sql("select uid, array_to_string(list_sort(list(item)), ' ') as items from bi group by uid"))
+def _file(lines: DataFrame, order: str, name: str) -> str:
+    """A folder of text files with the column ``value`` in that order; blank lines stand before every seventh line."""
+    path = f"{Scratch(lines.sparkSession, 'files').root}/{name}.txt"
+    spaced = F.when(F.col(order) % 7 == 0, F.concat(F.lit(" \n\n"), F.col("value"))).otherwise(F.col("value"))
+    lines.orderBy(order).select(spaced.alias("value")).write.text(path)
+    return path
+
+
+def _sorted_items(items: str) -> Column:
+    return F.array_join(F.sort_array(items).cast("array<string>"), " ").alias("items")
+
+
+@register(sql("select row_number() over (order by uid) - 1 as uid, items from (select uid, array_to_string(list_sort(list(item)), ' ') as items from bi group by uid)"))
 def s1_basket_scan(spark, sf_dir):
     f = Fixture(spark, sf_dir)
     lines = tables.baskets_of(f.pairs).select("uid", F.concat(F.lit(" "), F.array_join(F.col("items").cast("array<string>"), ",, "), F.lit(",")).alias("value"))
-    return text.parse_baskets(lines).select("uid", F.array_join(F.sort_array("items").cast("array<string>"), " ").alias("items"))
+    return text.read_baskets(spark, _file(lines, "uid", "baskets")).select("uid", _sorted_items("items"))
 
 
-@register(sql("select qid, threshold, array_to_string(list_sort(list(item)), ' ') as items from q join qi using (qid) group by qid, threshold"))
+@register(sql("select qid - 1 as qid, threshold, array_to_string(list_sort(list(item)), ' ') as items from q join qi using (qid) group by qid, threshold"))
 def s2_query_scan(spark, sf_dir):
     f = Fixture(spark, sf_dir)
     lines = f.queries.select("qid", F.concat(F.col("threshold").cast("string"), F.lit("  "), F.array_join(F.col("items").cast("array<string>"), ",")).alias("value"))
-    return text.parse_queries(lines).select("qid", "threshold", F.array_join(F.sort_array("items").cast("array<string>"), " ").alias("items"))
+    return text.read_queries(spark, _file(lines, "qid", "queries")).select("qid", "threshold", _sorted_items("items"))
 
 
-@register(sql(f"select qid - 1 as qid, {s6('true_count / users')} as freq from truth"))
+@register(sql(f"select qid - 1 as qid, {s6('true_count / users')} as freq from truth where qid <= 15"))
 def s3_truth_scan(spark, sf_dir):
+    """A file with a line more for every query than there are queries; only the first 15 count."""
     f = Fixture(spark, sf_dir)
-    lines = exact.overlap_counts(f.pairs, f.queries).select((F.col("qid") - 1).alias("line_no"), r6(F.col("true_count") / F.col("users")).cast("string").alias("value"))
-    return text.parse_frequencies(lines, 20).select("qid", r6(F.col("freq")).alias("freq"))
+    lines = exact.overlap_counts(f.pairs, f.queries).select("qid", r6(F.col("true_count") / F.col("users")).cast("string").alias("value"))
+    return text.read_frequencies(spark, _file(lines, "qid", "truth"), 15).select("qid", r6(F.col("freq")).alias("freq"))
+
+
+@register(sql("select qid - 1 as qid, threshold, true_count, users, round(true_count / users, 6) + 0e0 as given from truth"))
+def s1_file_workload(spark, sf_dir):
+    """Baskets, queries and frequencies from text files, end to end: the exact counts and the file's frequency of each query."""
+    f = Fixture(spark, sf_dir)
+    baskets = tables.baskets_of(f.pairs).select("uid", F.array_join(F.col("items").cast("array<string>"), ",").alias("value"))
+    asked = f.queries.select("qid", F.concat_ws(" ", F.col("threshold").cast("string"), F.array_join(F.col("items").cast("array<string>"), ",")).alias("value"))
+    truth = exact.overlap_counts(f.pairs, f.queries).select("qid", r6(F.col("true_count") / F.col("users")).cast("string").alias("value"))
+    users = text.read_baskets(spark, _file(baskets, "uid", "baskets"))
+    queries = text.read_queries(spark, _file(asked, "qid", "queries"))
+    counted = exact.overlap_counts(users.select("uid", F.explode("items").alias("item")), queries)
+    given = text.read_frequencies(spark, _file(truth, "qid", "truth"), 20)
+    return counted.join(given, "qid").select("qid", "threshold", "true_count", "users", r6(F.col("freq")).alias("given"))
 
 
 # exact queries
@@ -478,7 +515,7 @@ def t4g_best_cut(spark, sf_dir):
     return rounded(tree.cuts(shares, f.minhash_hist, f.sizes, CONFIG), "mi")
 
 
-@register(sql(f"select node_id, item, case when rn <= {CONFIG.min_child} + floor({uniform_sql(SEED, 'random_cut', 'node_id')} * (size - {2 * CONFIG.min_child} + 1)) then 'A' else 'B' end as side from (select node_id, item, size, row_number() over (partition by node_id order by {digest_sql(SEED, 'random_split', 'node_id', 'item')}) as rn from ni) where size >= {2 * CONFIG.min_child}"))
+@register(sql(f"select node_id, item, case when rn <= {CONFIG.min_child} + floor({uniform_sql(SEED, 'random_cut', 'node_id')} * (size - {2 * CONFIG.min_child} + 1)) then 'A' else 'B' end as side from (select node_id, item, size, row_number() over (partition by node_id order by {digest_sql(SEED, 'random_split', 'node_id', 'item')}) as rn from ni) where size > {2 * CONFIG.min_child}"))
 def t5_random_split(spark, sf_dir):
     f = Fixture(spark, sf_dir)
     return tree.random_cuts(f.node_items, f.sizes, CONFIG)
@@ -486,7 +523,7 @@ def t5_random_split(spark, sf_dir):
 
 @register()
 def t6_split_error(spark, sf_dir):
-    f = Fixture(spark, sf_dir)
+    f = Fixture(spark, sf_dir, stored=True)
     samples = tree.split_samples(f.node_items, f.sizes, CONFIG)
     return tree.split_errors(samples, tree.random_cuts(f.node_items, f.sizes, CONFIG), f.probabilities, answer.pair_items(f.build), 6, f.users.count(), CONFIG)
 
@@ -543,8 +580,6 @@ def t14_lift_order(spark, sf_dir):
 
 @register("select * from (values (0.1e0, 1), (0.5e0, 1), (1e0, 1), (2e0, 1), (3e0, 2), (4e0, 2), (5e0, 3), (6e0, 3), (7e0, 4), (8e0, 4)) t(epsilon, hash_choices)")
 def t16_hash_choices(spark, sf_dir):
-    from .config import EPSILON_GRID, Config
-
     return spark.createDataFrame([(e, Config(epsilon=e).hash_choices) for e in EPSILON_GRID], "epsilon double, hash_choices int")
 
 
@@ -560,7 +595,20 @@ def g0_normal_tail(spark, sf_dir):
     return _grid(spark, F.sequence(F.lit(-60), F.lit(60))).select("i", r6(mathx.ccdf(F.col("i") / 10.0)).alias("tail"))
 
 
-_PAIR_TAIL_SQL = f"select node_id, qid, threshold, {s6('mu')} as mu, {s6('var')} as var, {s6(ccdf_sql('z'))} as tail from (select *, (threshold - 0.5 - mu) / sqrt(var) as z from (select m.*, greatest(1e-9, v + 2 * coalesce(cov, 0)) as var from (select node_id, qid, threshold, sum(p) as mu, sum(p * (1 - p)) as v from (select a.*, coalesce(p, 0) as p from asked_ a left join p using (item)) group by all) m left join (select x.node_id, x.qid, sum(g.freq - coalesce(px.p, 0) * coalesce(py.p, 0)) as cov from asked_ x join asked_ y on x.node_id = y.node_id and x.qid = y.qid and x.role = y.role and x.item < y.item join pair_freq g on g.node_id = x.node_id and g.item_a = x.item and g.item_b = y.item left join p px on px.item = x.item left join p py on py.item = y.item group by x.node_id, x.qid) c using (node_id, qid)))"
+#: mu and var of each query in its node.
+_PAIR_TAIL_ROWS = """
+  select m.*, greatest(1e-9, v + 2 * coalesce(cov, 0)) as var from (
+    select node_id, qid, threshold, sum(p) as mu, sum(p * (1 - p)) as v from (select a.*, coalesce(p, 0) as p from asked_ a left join p using (item)) group by all
+  ) m left join (
+    select x.node_id, x.qid, sum(g.freq - coalesce(px.p, 0) * coalesce(py.p, 0)) as cov
+    from asked_ x join asked_ y on x.node_id = y.node_id and x.qid = y.qid and x.role = y.role and x.item < y.item
+    join pair_freq g on g.node_id = x.node_id and g.item_a = x.item and g.item_b = y.item
+    left join p px on px.item = x.item left join p py on py.item = y.item group by x.node_id, x.qid
+  ) c using (node_id, qid)"""
+_PAIR_TAIL_SQL = (
+    f"select node_id, qid, threshold, {s6('mu')} as mu, {s6('var')} as var, {s6(ccdf_sql('z'))} as tail "
+    f"from (select *, (threshold - 0.5 - mu) / sqrt(var) as z from ({_PAIR_TAIL_ROWS}))"
+)
 
 
 @register(sql(_PAIR_TAIL_SQL))
@@ -592,16 +640,22 @@ def g4_reconstruction_error(spark, sf_dir):
     return plain.select("node_id", "qid", r6(tails.reconstruction_error(F.col("tail"))).alias("error"))
 
 
-@register()
+_MIXED_ERROR_SQL = f"""select node_id, qid, {s6("case when r = 0 then 0 when r < threshold then t * t else coalesce(var, 0) end")} as error
+  from (select node_id, qid, threshold, {ccdf_sql("z")} as t from (select *, (threshold - 0.5 - mu) / sqrt(var) as z from ({_PAIR_TAIL_ROWS})))
+  join (select node_id, qid, count(*) as r from asked_ group by node_id, qid) using (node_id, qid) left join (select node_id, qid, var from mix_mh) using (node_id, qid)"""
+
+
+@register(sql(_MIXED_ERROR_SQL))
 def g5_reconstruction_error_mixed(spark, sf_dir):
-    f = Fixture(spark, sf_dir)
+    f = Fixture(spark, sf_dir, stored=True)
     asked = f.asked.drop("role")
     pairs = answer.pair_items(f.build).join(asked.select("node_id", "qid").distinct(), "node_id")
     tail = tails.pair_tail(asked, f.probabilities, pairs, ["node_id", "qid"])
     mixture = tails.mixed(f.minhash_hist, f.alpha).select("node_id", "qid", "var")
     counted = asked.groupBy("node_id", "qid").agg(F.count("*").alias("r"))
     rows = tail.drop("var").join(mixture, ["node_id", "qid"], "left").join(counted, ["node_id", "qid"])
-    return rows.select("node_id", "qid", tails.reconstruction_error_mixed(F.col("r"), F.col("threshold"), F.col("tail"), F.coalesce("var", F.lit(0.0))).alias("error"))
+    error = tails.reconstruction_error_mixed(F.col("r"), F.col("threshold"), F.col("tail"), F.coalesce("var", F.lit(0.0)))
+    return rows.select("node_id", "qid", r6(error).alias("error"))
 
 
 @register(sql(f"select node_id, qid, k, {s6('alpha')} as alpha from alpha"))
@@ -643,7 +697,7 @@ def g9_query_share(spark, sf_dir):
 
 @register(sql(f"select g.node_id, g.qid, g.k, {s6('0.75 * a + 0.25 * coalesce(alpha, 0)')} as alpha from ({_GAUSS_SQL}) g left join alpha using (node_id, qid, k)"))
 def g10_blended_alpha(spark, sf_dir):
-    f = Fixture(spark, sf_dir)
+    f = Fixture(spark, sf_dir, stored=True)
     both = _gauss(f).join(f.alpha, ["node_id", "qid", "k"], "left")
     return both.select("node_id", "qid", "k", r6(tails.blended_alpha(F.col("a"), F.coalesce("alpha", F.lit(0.0)), 0.25)).alias("alpha"))
 
@@ -705,37 +759,37 @@ def q2_intersection_class(spark, sf_dir):
 
 @register(sql(f"select node_id, qid, {s6('f')} as f, round(var, 9) + 0e0 as var from full_"))
 def q3_full_component(spark, sf_dir):
-    f = Fixture(spark, sf_dir)
+    f = Fixture(spark, sf_dir, stored=True)
     return rounded(answer.full_component(f.build, f.full_asked, f.alpha), "f").withColumn("var", F.round("var", 9) + F.lit(0.0))
 
 
 @register(sql(f"select node_id, qid, k, {s6('freq')} as freq, n from hybrid"))
 def q4_hybrid_histogram(spark, sf_dir):
-    f = Fixture(spark, sf_dir)
+    f = Fixture(spark, sf_dir, stored=True)
     return rounded(answer.hybrid_histogram(f.build, f.partial_asked, f.alpha), "freq")
 
 
 @register(sql(f"select qid, {s6('f')} as f, round(var, 9) + 0e0 as var from partial_"))
 def q5_partial_component(spark, sf_dir):
-    f = Fixture(spark, sf_dir)
+    f = Fixture(spark, sf_dir, stored=True)
     return rounded(answer.partial_component(f.build, f.partial_asked, f.alpha), "f").withColumn("var", F.round("var", 9) + F.lit(0.0))
 
 
 @register(sql("select qid, node_u, node_v, item_a, item_b, round(freq, 9) + 0e0 as freq from crossed"))
 def q6_cross_pairs(spark, sf_dir):
-    f = Fixture(spark, sf_dir)
+    f = Fixture(spark, sf_dir, stored=True)
     made = answer.cross_pairs(f.partial_asked, f.cross, f.probabilities)
     return made.select("qid", "node_u", "node_v", "item_a", "item_b", (F.round("freq", 9) + F.lit(0.0)).alias("freq"))
 
 
 @register(sql("select qid, item_a, item_b, round(freq, 9) + 0e0 as freq from global_"))
 def q7_global_pairs(spark, sf_dir):
-    f = Fixture(spark, sf_dir)
-    made = answer.global_pairs(f.partial_asked, f.build, answer.cross_pairs(f.partial_asked, f.cross, f.probabilities))
+    f = Fixture(spark, sf_dir, stored=True)
+    made = answer.global_pairs(answer.asked_pairs(f.partial_asked, f.build), answer.cross_pairs(f.partial_asked, f.cross, f.probabilities))
     return made.withColumn("freq", F.round("freq", 9) + F.lit(0.0))
 
 
 @register(sql(f"select qid, {s6('f_full')} as f_full, {s6('f_partial')} as f_partial, {s6('f_hat')} as f_hat from answers_"))
 def q8_private_answers(spark, sf_dir):
-    f = Fixture(spark, sf_dir)
+    f = Fixture(spark, sf_dir, stored=True)
     return rounded(answer.answers(f.build, f.queries), "f_full", "f_partial", "f_hat").select("qid", "f_full", "f_partial", "f_hat")

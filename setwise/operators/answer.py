@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mathx import clip01
+from ..storage import Scratch
 from . import minhash, tails
 from .tree import Build
 
@@ -77,12 +78,18 @@ def query_alpha(build: Build, asked: DataFrame) -> DataFrame:
 
 
 def pair_items(build: Build) -> DataFrame:
-    """node_id, item_a < item_b, freq."""
+    """node_id, item_a < item_b, freq. A row for each pair of a node's items: never broadcast."""
     local = build.node_items.select("node_id", "item", "local_id")
     one, two = (local.select("node_id", F.col("item").alias(f"item_{k}"), F.col("local_id").alias(k)) for k in "ab")
     return build.pair_freq.where("a is not null").join(F.broadcast(one), ["node_id", "a"]).join(F.broadcast(two), ["node_id", "b"]).select("node_id", "item_a", "item_b", "freq")
 
 
+def asked_pairs(asked: DataFrame, build: Build) -> DataFrame:
+    """qid, node_id, item_a < item_b, freq of the pairs that a query asks for inside a node: few of the node's pairs."""
+    one, two = (asked.select("qid", "node_id", F.col("item").alias(f"item_{k}")) for k in "ab")
+    return one.join(two, ["qid", "node_id"]).where("item_a < item_b").join(pair_items(build), ["node_id", "item_a", "item_b"]).select("qid", "node_id", "item_a", "item_b", "freq")
+
+
 def full_component(build: Build, asked: DataFrame, alpha: DataFrame) -> DataFrame:
     """node_id, qid, f, var: the node's two histograms through alpha, combined by inverse variance."""
     one = tails.mixed(build.minhash_hist, alpha).select("node_id", "qid", F.col("f").alias("f_mh"), F.col("var").alias("v_mh"))
@@ -123,13 +130,10 @@ def cross_pairs(asked: DataFrame, cross: DataFrame, probabilities: DataFrame) ->
     return both.select("qid", "node_u", "node_v", "p_uv", F.least("item_u", "item_v").alias("item_a"), F.greatest("item_u", "item_v").alias("item_b"), (F.col("p_uv") * F.col("w_u") * F.col("w_v")).alias("freq"))
 
 
-def global_pairs(asked: DataFrame, build: Build, crossed: DataFrame) -> DataFrame:
-    """qid, item_a, item_b, freq: pairs inside the partial nodes and across them."""
-    parts = asked.select("qid", "node_id").distinct()
-    inside = parts.join(F.broadcast(pair_items(build)), "node_id")
-    held = asked.select("qid", "item")
-    inside = inside.join(held.withColumnRenamed("item", "item_a"), ["qid", "item_a"], "left_semi").join(held.withColumnRenamed("item", "item_b"), ["qid", "item_b"], "left_semi")
-    return inside.select("qid", "item_a", "item_b", "freq").unionByName(crossed.select("qid", "item_a", "item_b", "freq")).groupBy("qid", "item_a", "item_b").agg(F.sum("freq").alias("freq"))
+def global_pairs(inside: DataFrame, crossed: DataFrame) -> DataFrame:
+    """qid, item_a, item_b, freq: the asked pairs inside the partial nodes and across them."""
+    columns = ["qid", "item_a", "item_b", "freq"]
+    return inside.select(*columns).unionByName(crossed.select(*columns)).groupBy("qid", "item_a", "item_b").agg(F.sum("freq").alias("freq"))
 
 
 def partial_component(build: Build, asked: DataFrame, alpha: DataFrame) -> DataFrame:
@@ -140,9 +144,12 @@ def partial_component(build: Build, asked: DataFrame, alpha: DataFrame) -> DataF
     intra = inner.groupBy("qid").agg(F.sum(F.coalesce("f", F.lit(0.0))).alias("f_intra"), F.sum(F.coalesce("var", F.lit(0.0))).alias("v_intra"))
 
     crossed = cross_pairs(asked, build.cross, probabilities)
+    within = asked_pairs(asked, build)
     couples = crossed.select("qid", "node_u", "node_v", "p_uv").distinct()
-    union = couples.join(asked, "qid").where("node_id = node_u or node_id = node_v").select("qid", "node_u", "node_v", "p_uv", "threshold", "item")
-    inside = couples.join(F.broadcast(pair_items(build)), (F.col("node_id") == F.col("node_u")) | (F.col("node_id") == F.col("node_v"))).select("qid", "node_u", "node_v", "item_a", "item_b", "freq")
+    # a row for either node of a couple, so that what belongs to them is found by its key
+    either = couples.withColumn("node_id", F.explode(F.array("node_u", "node_v")))
+    union = either.join(asked, ["qid", "node_id"]).select("qid", "node_u", "node_v", "p_uv", "threshold", "item")
+    inside = either.join(within, ["qid", "node_id"]).select("qid", "node_u", "node_v", "item_a", "item_b", "freq")
     pairs = inside.unionByName(crossed.select(*inside.columns)).groupBy("qid", "node_u", "node_v", "item_a", "item_b").agg(F.sum("freq").alias("freq"))
     keys = ["qid", "node_u", "node_v"]
     enough = union.groupBy(*keys, "threshold", "p_uv").agg(F.count("*").alias("n")).where("n >= threshold").select(*keys, "p_uv")
@@ -150,7 +157,7 @@ def partial_component(build: Build, asked: DataFrame, alpha: DataFrame) -> DataF
     slope = F.col("tail") / F.greatest("p_uv", F.lit(1e-9))
     cross = both.groupBy("qid").agg(F.sum(clip01(F.col("tail"))).alias("f_cross"), F.sum(slope * slope * F.col("p_uv") * (1 - F.col("p_uv")) / float(max(1, build.users))).alias("v_cross"))
 
-    best = tails.pair_tail(asked.select("qid", "threshold", "item"), probabilities, global_pairs(asked, build, crossed), ["qid"]).select("qid", clip01(F.col("tail")).alias("best"))
+    best = tails.pair_tail(asked.select("qid", "threshold", "item"), probabilities, global_pairs(within, crossed), ["qid"]).select("qid", clip01(F.col("tail")).alias("best"))
     rows = intra.join(cross, "qid", "left").join(best, "qid", "left").withColumn("mean", F.col("f_intra") + F.coalesce("f_cross", F.lit(0.0)))
     f0 = F.greatest(F.lit(0.0), F.coalesce("best", F.lit(0.0)) - F.col("mean"))
     variance = F.col("v_intra") + F.coalesce("v_cross", F.lit(0.0)) + f0 * (1 - f0) / float(max(1, build.users))
@@ -162,10 +169,12 @@ def answers(build: Build, queries: DataFrame) -> DataFrame:
 
     Thresholds up to 0 give 1; an empty query with a threshold gives 0; unknown items count as never held.
     """
+    scratch = Scratch(queries.sparkSession, "answers")
     selected = select_nodes(queries, build.node_items, build.nodes, max(1, build.config.max_depth))
     asked = queries.select("qid", "threshold", F.explode(F.array_distinct("items")).alias("item"))
-    per_node = selected.join(asked, "qid").join(F.broadcast(build.node_items.select("node_id", "item")), ["node_id", "item"]).select("role", "node_id", "qid", "threshold", "item").persist()
-    alpha = query_alpha(build, per_node.drop("role")).persist()
+    per_node = selected.join(asked, "qid").join(F.broadcast(build.node_items.select("node_id", "item")), ["node_id", "item"]).select("role", "node_id", "qid", "threshold", "item")
+    per_node = scratch.save(per_node, "asked")
+    alpha = scratch.save(query_alpha(build, per_node.drop("role")), "alpha")
     full_asked, partial_asked = (per_node.where(F.col("role") == r).drop("role") for r in ("full", "partial"))
     full = full_component(build, full_asked, alpha).select("qid", F.col("f").alias("f_full"), F.col("var").alias("var_full"))
     partial = partial_component(build, partial_asked, alpha).select("qid", F.col("f").alias("f_partial"), F.col("var").alias("var_partial"))

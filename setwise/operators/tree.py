@@ -223,7 +223,7 @@ def random_cuts(node_items: DataFrame, sizes: DataFrame, config: Config) -> Data
     order = F.row_number().over(Window.partitionBy("node_id").orderBy(digest(config.seed, "random_split", "node_id", "item")))
     room = F.col("size") - 2 * config.min_child + 1
     at = config.min_child + F.floor(uniform(config.seed, "random_cut", "node_id") * room)
-    rows = node_items.select("node_id", "item").withColumn("rn", order).join(F.broadcast(sizes), "node_id").where(room >= 1)
+    rows = node_items.select("node_id", "item").withColumn("rn", order).join(F.broadcast(sizes), "node_id").where(room > 1)  # a node of twice the least size has no choice and stays
     return rows.select("node_id", "item", F.when(F.col("rn") <= at, "A").otherwise("B").alias("side"))
 
 
