@@ -4,10 +4,11 @@ Points are groups of rows that stay together (equal texts), placed by their meta
 weighted median along the dimension in which it is widest, until every leaf holds about the target bytes. Of
 a node for k shards, floor(k/2)/k of the bytes go left, so that any number of leaves comes out even.
 
-The points are written once and never moved. A node is known by the cuts above it, which are a few rows. The
-medians of all nodes of a level come from histograms that merge by aggregation: the bin that holds a node's
-goal becomes the next pass's window, until it is narrow enough; where many points share the median's value,
-the search goes on in their tie breakers. A pass reads slim columns and shuffles only bins.
+The medians of all nodes of a level come from histograms that merge by aggregation. The first pass has a bin per
+node, dimension and interval, which tells widths, weights and each median's bin; that bin becomes the next
+pass's window, until it is narrow enough. Where many points share the median's value, the search goes on in
+their tie breakers. A pass reads slim columns and shuffles only bins; points are written again, each where it
+was, once a level, with their new node.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .common import Scratch, partitions, text_or_empty
 #: Bytes that a row costs beside its text.
 ROW_OVERHEAD = 16
 #: Bins of a histogram, and the share of a leaf's bytes up to which the median's bin is narrowed.
-BINS, PRECISION = 2048, 1 / 128
+BINS, PRECISION = 4096, 1 / 64
 #: A group over this share of a leaf's bytes is several points, next to each other in every dimension.
 GROUP_SHARE = 1 / 32
 
@@ -43,56 +44,77 @@ def _local(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.sql(f"select {', '.join(f'cast({c.split()[0]} as {c.split()[1]}) as {c.split()[0]}' for c in schema.split(', '))} from values {values} as t({names})")
 
 
-def _value(dimensions: list[str]) -> Column:
-    return F.element_at(F.array(*[F.col(d).cast("double") for d in dimensions]), F.col("dim"))
-
-
-def _in_nodes(points: DataFrame, dimensions: list[str], levels: list[list[tuple]]) -> DataFrame:
-    """The points with their node, the column ``first``: the cuts of each level (a row per node) are looked up in turn."""
-    out = points.withColumn("first", F.lit(0))
-    for cuts in levels:
-        table = _local(points.sparkSession, cuts, "node int, dim int, cut double, tie_cut bigint, half int")
-        v = _value(dimensions)
-        left = F.col("node").isNull() | (v < F.col("cut")) | ((v == F.col("cut")) & (F.col("tie") <= F.col("tie_cut")))
-        out = out.join(F.broadcast(table), F.col("first") == F.col("node"), "left")
-        out = out.withColumn("first", F.when(left, F.col("first")).otherwise(F.col("first") + F.col("half"))).select(*points.columns, "first")
-    return out
-
-
-def _medians(placed: DataFrame, dimensions: list[str], goals: dict[int, tuple], leaf: float, precision: float) -> dict[int, tuple[float, int]]:
-    """node -> (cut, tie_cut). ``goals``: node -> (dim, lo, hi, bytes that go left)."""
-    spark, found = placed.sparkSession, {}
-    # node -> (dim, by tie, value, lo, hi, bytes before the window, goal)
-    windows = {n: (dim, False, 0.0, lo, hi, 0, goal) for n, (dim, lo, hi, goal) in goals.items()}
+#: What is known of a bin.
+_BIN = "sum(w) as w, count(*) as n, min(x) as low, max(x) as high"
+
+
+def _first_pass(points: DataFrame, dimensions: list[str], ends: list[tuple[float, float]], nodes: dict[int, int]) -> dict[int, list]:
+    """node -> a row for each dimension: low and high of the node, and the bin that holds the goal."""
+    shares = _local(points.sparkSession, [(n, k // 2, k) for n, k in nodes.items()], "node int, half int, leaves int")
+    spread = ", ".join(f"struct({i + 1} as dim, cast({d} as double) as x, {lo!r}D as lo, {hi - lo!r}D as extent)" for i, (d, (lo, hi)) in enumerate(zip(dimensions, ends)))
+    each = points.selectExpr("first", "w", f"inline(array({spread}))").withColumn("bin", F.expr(f"least({BINS - 1}, floor((x - lo) / extent * {BINS}))"))
+    bins = each.groupBy("first", "dim", "bin").agg(*[F.expr(c) for c in _BIN.split(", ")])
+    node = "partition by first, dim"  # BINS rows of a node and dimension
+    bins = bins.selectExpr(
+        "*", f"min(low) over ({node}) as lo", f"max(high) over ({node}) as hi", f"sum(w) over ({node}) as total",
+        f"coalesce(sum(w) over ({node} order by bin rows between unbounded preceding and 1 preceding), 0) as before",
+    )
+    hit = bins.join(F.broadcast(shares), F.col("first") == F.col("node")).withColumn("goal", F.expr("total * half / leaves"))
+    out: dict[int, list] = {}
+    for r in hit.where("before <= goal and goal < before + w").collect():  # a row a node and dimension
+        out.setdefault(r["node"], []).append(r)
+    return {n: sorted(rows, key=lambda r: r["dim"]) for n, rows in out.items()}
+
+
+def _next_pass(points: DataFrame, dimensions: list[str], windows: dict[int, tuple]) -> list:
+    """For each window (dim, by tie, value, lo, hi, bytes before it, goal) its bin that holds the goal."""
+    table = _local(points.sparkSession, [(n, *w) for n, w in windows.items()], "node int, dim int, by_tie boolean, value double, lo double, hi double, base bigint, goal double")
+    value = f"element_at(array({', '.join(f'cast({d} as double)' for d in dimensions)}), dim)"
+    inside = points.join(F.broadcast(table), F.col("first") == F.col("node")).withColumn("v", F.expr(value)).withColumn("x", F.expr("if(by_tie, cast(tie as double), v)"))
+    inside = inside.where("x between lo and hi and (not by_tie or v = value)")
+    inside = inside.withColumn("bin", F.expr(f"if(hi > lo, least({BINS - 1}, floor((x - lo) / (hi - lo) * {BINS})), 0)"))
+    bins = inside.groupBy("node", "bin").agg(*[F.expr(c) for c in _BIN.split(", ")], F.first("base").alias("base"), F.first("goal").alias("goal"))
+    before = "base + coalesce(sum(w) over (partition by node order by bin rows between unbounded preceding and 1 preceding), 0)"
+    hit = bins.withColumn("before", F.expr(before)).where("before <= goal and goal < before + w").collect()  # a row a node
+    if len(hit) < len(windows):
+        raise RuntimeError("the points changed between two passes")
+    return hit
+
+
+def _medians(points: DataFrame, dimensions: list[str], ends: list[tuple[float, float]], nodes: dict[int, int], leaf: float, precision: float) -> dict[int, tuple[int, float, int]]:
+    """node -> (dim, cut, tie_cut) along the node's widest dimension; nodes without points have none."""
+    found, windows = {}, {}
+
+    def narrow(node: int, dim: int, by_tie: bool, value: float, r) -> None:
+        if r["n"] == 1 or (by_tie and r["low"] == r["high"]) or r["w"] <= precision * leaf:
+            # the bin goes left as a whole if most of it lies before the goal
+            edge = r["high"] if r["goal"] - r["before"] >= r["w"] / 2 else math.nextafter(r["low"], -math.inf)
+            found[node] = (dim, value, math.floor(edge)) if by_tie else (dim, edge, 1 << _TIE_BITS)
+        elif not by_tie and r["low"] == r["high"]:
+            windows[node] = dim, True, r["low"], 0.0, float(1 << _TIE_BITS), r["before"], r["goal"]
+        else:
+            windows[node] = dim, by_tie, value, r["low"], r["high"], r["before"], r["goal"]
+
+    for node, rows in _first_pass(points, dimensions, ends, nodes).items():
+        width = [(r["hi"] - r["lo"]) / (hi - lo) for r, (lo, hi) in zip(rows, ends)]
+        widest = width.index(max(width))
+        narrow(node, widest + 1, False, 0.0, rows[widest])
     while windows:
-        table = _local(spark, [(n, *w) for n, w in windows.items()], "node int, dim int, by_tie boolean, value double, lo double, hi double, base bigint, goal double")
-        v = _value(dimensions)
-        x = F.when(F.col("by_tie"), F.col("tie").cast("double")).otherwise(v)
-        inside = placed.join(F.broadcast(table), F.col("first") == F.col("node")).withColumn("x", x)
-        inside = inside.where(F.col("x").between(F.col("lo"), F.col("hi")) & (~F.col("by_tie") | (v == F.col("value"))))
-        position = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS)).otherwise(F.lit(0))
-        bins = inside.groupBy("node", F.least(F.lit(BINS - 1), position).alias("bin")).agg(
-            F.sum("w").alias("w"), F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"), F.first("base").alias("base"), F.first("goal").alias("goal")
-        )
-        earlier = Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # BINS rows a node
-        bins = bins.withColumn("before", F.col("base") + F.coalesce(F.sum("w").over(earlier), F.lit(0)))
-        hit = bins.where((F.col("before") <= F.col("goal")) & (F.col("goal") < F.col("before") + F.col("w"))).collect()  # a row a node
-        if len(hit) < len(windows):
-            raise RuntimeError("the points changed between two passes")
-        for r in hit:
-            dim, by_tie, value, _, _, _, goal = windows.pop(r["node"])
-            single = r["n"] == 1 or (by_tie and r["low"] == r["high"])
-            if single or r["w"] <= precision * leaf:  # goes left as a whole if most of it lies before the goal
-                left = goal - r["before"] >= r["w"] / 2
-                edge = r["high"] if left else math.nextafter(r["low"], -math.inf)
-                found[r["node"]] = (value, math.floor(edge)) if by_tie else (edge, 1 << _TIE_BITS)
-            elif not by_tie and r["low"] == r["high"]:
-                windows[r["node"]] = (dim, True, r["low"], 0.0, float(1 << _TIE_BITS), r["before"], goal)
-            else:
-                windows[r["node"]] = (dim, by_tie, value, r["low"], r["high"], r["before"], goal)
+        now, windows = windows, {}
+        for r in _next_pass(points, dimensions, now):
+            narrow(r["node"], now[r["node"]][0], now[r["node"]][1], now[r["node"]][2], r)
     return found
 
 
+def _split(points: DataFrame, dimensions: list[str], cuts: list[tuple]) -> DataFrame:
+    """The points with their node a level further down. ``cuts``: node, dim, cut, tie_cut, shards on the left."""
+    table = _local(points.sparkSession, cuts, "node int, dim int, cut double, tie_cut bigint, half int")
+    value = f"element_at(array({', '.join(f'cast({d} as double)' for d in dimensions)}), dim)"
+    placed = points.join(F.broadcast(table), F.col("first") == F.col("node"), "left").withColumn("v", F.expr(value))
+    first = F.expr("if(node is null or v < cut or (v = cut and tie <= tie_cut), first, first + half)")
+    return placed.withColumn("first", first).select(*points.columns)
+
+
 def _points(scratch: Scratch, base: DataFrame, dimensions: list[str], most: float) -> tuple[DataFrame, DataFrame]:
     """(points, heavy): a point per group, or ceil(bytes / most) of a heavier one, whose rows are dealt by row number."""
     least = [F.min(d).alias(d) for d in dimensions]
@@ -104,7 +126,7 @@ def _points(scratch: Scratch, base: DataFrame, dimensions: list[str], most: floa
     several = dealt.join(F.broadcast(heavy.drop("w", "numbers")), "__group")
     one = groups.where(F.col("w") <= most).withColumn("number", F.lit(0))
     columns = ["__group", "number", *dimensions, "w"]
-    return scratch.save(one.select(*columns).unionByName(several.select(*columns)).withColumn("tie", tie(F.col("number"))), "points"), heavy
+    return scratch.save(one.select(*columns).unionByName(several.select(*columns)).withColumn("tie", tie(F.col("number"))).withColumn("first", F.lit(0)), "points"), heavy
 
 
 def _number() -> Column:
@@ -134,27 +156,20 @@ def kd_shards(
     if shards is None:
         shards = max(1, math.ceil(whole["w"] / target_bytes))
     leaf = whole["w"] / shards
-    extents = [max(whole[f"hi_{i}"] - whole[f"lo_{i}"], 1e-12) for i in range(len(dimensions))]
+    # of a dimension without extent every point is in bin 0
+    extents = [(lo, hi if hi > lo else lo + 1.0) for lo, hi in ((whole[f"lo_{i}"], whole[f"hi_{i}"]) for i in range(len(dimensions)))]
     points, heavy = _points(scratch, base, dimensions, max(1.0, GROUP_SHARE * leaf))
 
     # a node is the shards [first, first + leaves)
-    levels: list[list[tuple]] = []
-    nodes = {0: shards}
-    while any(k > 1 for k in nodes.values()):
-        placed = _in_nodes(points, dimensions, levels)
-        goals = {}
-        for r in placed.groupBy("first").agg(F.sum("w").alias("w"), *ends).collect():  # a row a node
-            leaves = nodes[r["first"]]
-            if leaves > 1:
-                spread = [(r[f"hi_{i}"] - r[f"lo_{i}"]) / e for i, e in enumerate(extents)]
-                widest = spread.index(max(spread))
-                goals[r["first"]] = widest + 1, r[f"lo_{widest}"], r[f"hi_{widest}"], r["w"] * (leaves // 2) / leaves
-        cuts = _medians(placed, dimensions, goals, leaf, precision)
-        levels.append([(n, goals[n][0], cut, tie_cut, nodes[n] // 2) for n, (cut, tie_cut) in sorted(cuts.items())])
-        split = {n: k for n, k in nodes.items() if n in cuts}  # a node without points needs no cut
-        nodes = {n: k for n, k in nodes.items() if k == 1} | {n: k // 2 for n, k in split.items()} | {n + k // 2: k - k // 2 for n, k in split.items()}
-
-    shard_of = _in_nodes(points, dimensions, levels).select(F.col("__group").alias("g"), "number", F.col("first").alias("shard"))
+    nodes = {0: shards} if shards > 1 else {}
+    while nodes:
+        cuts = _medians(points, dimensions, extents, nodes, leaf, precision)
+        before, points = points, scratch.save(_split(points, dimensions, [(n, *c, nodes[n] // 2) for n, c in sorted(cuts.items())]), "points")
+        scratch.drop(before)
+        halves = [h for n in cuts for h in ((n, nodes[n] // 2), (n + nodes[n] // 2, nodes[n] - nodes[n] // 2))]
+        nodes = {n: k for n, k in halves if k > 1}
+
+    shard_of = points.select(F.col("__group").alias("g"), "number", F.col("first").alias("shard"))
     numbered = base.join(F.broadcast(heavy.select("__group", "numbers")), "__group", "left").withColumn("__number", _number())
     dealt = numbered.join(shard_of, (F.col("__group") == F.col("g")) & (F.col("__number") == F.col("number")))
     dealt = scratch.save(dealt.select(*rows.columns, "__row", "shard"), "dealt")
