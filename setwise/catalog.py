@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,16 +90,16 @@ class Fixture:
         return oue.second_half(self.node_users)
 
     def _hist(self):
-        return oue.noisy_histogram(self.pairs, self.cohort, 25, self.config.report_epsilon, SEED)
+        return oue.noisy_histogram(self.pairs, self.cohort, 25, self.config)
 
     def _probabilities(self):
         return tails.item_probabilities(self.hist)
 
     def _pair_freq(self):
-        return oue.pair_frequencies(self.pairs, self.node_users, self.node_items, self.sizes, self.config.report_epsilon, SEED)
+        return oue.pair_frequencies(self.pairs, self.node_users, self.node_items, self.sizes, self.config)
 
     def _oue_hist(self):
-        return oue.intersection_histogram(self.pairs, self.first, self.node_items, self.sizes, self.config.report_epsilon, SEED)
+        return oue.intersection_histogram(self.pairs, self.first, self.node_items, self.sizes, self.config)
 
     def _winners(self):
         return minhash.node_signatures(self.pairs, self.second, self.node_items, self.config)
@@ -114,7 +115,7 @@ class Fixture:
         return self.node_items.join(F.broadcast(numbered), "node_id").select("node_id", "item", "leaf")
 
     def _cross(self):
-        return oue.cross_node_frequencies(self.pairs, self.cohort, self.leaves, self.config.report_epsilon, SEED)
+        return oue.cross_node_frequencies(self.pairs, self.cohort, self.leaves, self.config)
 
     def _node_p(self):
         return tree.node_probabilities(self.node_items, self.probabilities)
@@ -288,13 +289,7 @@ def f2_oue_aggregate(spark, sf_dir):
 @register(sql(f"select i, j, {s6('f')} as est_freq from leaf_agg"))
 def f3_oue_two_dimensions(spark, sf_dir):
     f = Fixture(spark, sf_dir)
-    under = f.cohort.where("role = 'underlying'").select("uid")
-    touched = f.pairs.join(under, "uid", "left_semi").join(F.broadcast(f.leaves), "item").select("uid", "leaf").distinct()
-    drawn = under.join(oue.sample_pair(touched, SEED, "node_pair_sample", ["uid"], "leaf"), "uid", "left").withColumns({"vi": F.coalesce("a", F.lit(4)), "vj": F.coalesce("b", F.lit(4))})
-    grid = drawn.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    hit = F.when((F.col("i") == F.col("vi")) & (F.col("j") == F.col("vj")), F.lit(0.5)).otherwise(F.lit(Q))
-    bits = grid.withColumn("bit", (oue.uniform(SEED, "node_pair_bits", "uid", "i", "j") < hit).cast("int"))
-    return rounded(oue.aggregate(bits, CONFIG.report_epsilon, [], ["i", "j"]), "est_freq").select("i", "j", "est_freq")
+    return rounded(oue.leaf_pair_estimates(f.pairs, f.cohort, f.leaves, CONFIG), "est_freq").select("i", "j", "est_freq")
 
 
 @register(sql(f"select y, {s6('case when sum(greatest(est_count, 0)) over () > 0 then greatest(est_count, 0) * n / sum(greatest(est_count, 0)) over () else 0 end')} as clipped from item_agg"))
@@ -352,6 +347,32 @@ def f2_oue_aggregate_simulated(spark, sf_dir):
     return oue.simulated_aggregate(counts.join(F.broadcast(total)), CONFIG.report_epsilon, SEED, "item_simulated", [])
 
 
+def _customer_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Config]:
+    """(items, pairs, config) of a domain of thousands of items, too many for single reports."""
+    bought = tables.customer_parts(spark, sf_dir).distinct()
+    items = tables.encode_items(bought)
+    return items, tables.basket_items(bought, items), replace(CONFIG, draws="aggregate")
+
+
+_PARTS_SQL = f"""with bought as (select distinct o_custkey as uid, l_partkey from lineitem join orders on l_orderkey = o_orderkey),
+  k as (select count(distinct l_partkey) as k, count(distinct uid) as u from bought),
+  sized as (select i::int as node_id, case i when 0 then k when 1 then (k + 1) // 2 else k - (k + 1) // 2 end as size, (u - floor(u * {CONFIG.alpha}))::bigint // {CONFIG.blocks} as n from k, range(0, 3) t(i))
+select node_id, 1 + size * (size - 1) // 2 as cells, n, 1e0 as whole from sized"""
+
+
+@register(_PARTS_SQL)
+def f9_pair_frequency_of_parts(spark, sf_dir):
+    """Pair frequencies of all parts and of their halves: every cell is estimated, and a node's add up to 1."""
+    items, pairs, config = _customer_parts(spark, sf_dir)
+    domain = items.count()
+    nodes, node_items = tree.static_tables(spark, tree.static_tree(domain, 2, domain), items)
+    cohort = oue.cohorts(pairs.select("uid").distinct(), config.alpha, config.blocks, SEED)
+    users = oue.node_users(cohort, nodes)
+    freq = oue.pair_frequencies(pairs, users, node_items, minhash.node_sizes(node_items), config)
+    counted = freq.groupBy("node_id").agg(F.count("*").alias("cells"), r6(F.sum("freq")).alias("whole"))
+    return counted.join(users.groupBy("node_id").agg(F.count("*").alias("n")), "node_id").select("node_id", "cells", "n", "whole")
+
+
 # MinHash
 
 

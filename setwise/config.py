@@ -15,6 +15,9 @@ class Config:
 
     ``budget``: "parity" lets each of a user's two reports spend the whole epsilon; "split" halves it.
     ``smooth``: post-processing of frequency estimates, see ``operators.oue.smooth``.
+    ``draws``: "reports" draws every bit of every report, users x domain of them, which SQL can repeat; "aggregate"
+    counts true values and draws each element's sum of bits from its binomial law, whatever the number of users.
+    The law is the same; domains of thousands of items, or millions of pairs, want "aggregate".
     """
 
     epsilon: float = 2.0
@@ -31,6 +34,7 @@ class Config:
     seed: int = 2025
     budget: str = "parity"
     smooth: str = "clip"
+    draws: str = "reports"
 
     @property
     def report_epsilon(self) -> float:

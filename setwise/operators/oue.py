@@ -13,12 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import KEEP_RATE, flip_rate
-from ..functions.mathx import r6
+from ..config import KEEP_RATE, Config, flip_rate
 from ..functions.prng import digest, hash_rank, uniform
-
-#: Users x domain rows up to which reports are made one by one.
-DENSE_ROWS = 50_000_000
+from ..storage import Scratch
 
 
 # cohorts
@@ -65,7 +62,23 @@ def sample_pair(things: DataFrame, seed: int, tag: str, by: list[str], value: st
 
 def pair_id(a: Column, b: Column, size: Column) -> Column:
     """Row-major number (from 1) of the pair a < b of 0..size-1; 0 for no pair."""
-    return F.coalesce((F.lit(1) + a * (size - 1) - a * (a - 1) / 2 + (b - a - 1)).cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(F.lit(1) + _pairs_before(a, size) + (b - a - 1), F.lit(0)).cast("bigint")
+
+
+def _pairs_before(a: Column, size: Column) -> Column:
+    """Pairs whose smaller element is under ``a``, in whole numbers."""
+    a, size = a.cast("bigint"), size.cast("bigint")
+    return F.shiftright(a * (2 * size - a - 1), 1)
+
+
+def pair_of(y: Column, size: Column) -> tuple[Column, Column]:
+    """(a, b) of a pair's number, null for 0: the root of a quadratic, set right by whole numbers."""
+    at = y.cast("bigint") - 1
+    edge = 2 * size.cast("double") - 1
+    guess = F.floor((edge - F.sqrt(F.greatest(edge * edge - 8 * at, F.lit(0.0)))) / 2)
+    a = guess - F.when(_pairs_before(guess, size) > at, 1).otherwise(0) + F.when(_pairs_before(guess + 1, size) <= at, 1).otherwise(0)
+    b = at - _pairs_before(a, size) + a + 1
+    return F.when(y > 0, a).cast("int"), F.when(y > 0, b).cast("int")
 
 
 # reports and aggregates
@@ -118,6 +131,18 @@ def simulated_aggregate(true_counts: DataFrame, epsilon: float, seed: int, tag:
     return summed.withColumn("est_count", count).withColumn("est_freq", count / F.col("n"))
 
 
+def drawn_aggregate(values: DataFrame, cells: DataFrame, epsilon: float, seed: int, tag: str, by: list[str]) -> DataFrame:
+    """``simulated_aggregate`` of the true ``values`` (*by, value) over all ``cells`` (*by, y): a row a cell, no user x cell.
+
+    Written once: what is made of it reads the rows more than once.
+    """
+    true = values.groupBy(*by, F.col("value").cast("bigint").alias("y")).agg(F.count("*").alias("t"))
+    total = values.groupBy(*by).agg(F.count("*").alias("n"))  # a row a node
+    rows = cells.select(*by, F.col("y").cast("bigint").alias("y")).join(true, [*by, "y"], "left").withColumn("t", F.coalesce("t", F.lit(0)))
+    rows = rows.join(F.broadcast(total), by) if by else rows.join(F.broadcast(total))
+    return Scratch(values.sparkSession, "drawn").save(simulated_aggregate(rows, epsilon, seed, tag, by), tag)
+
+
 def smooth(estimates: DataFrame, column: str, total: Column, by: list[str], mode: str = "clip") -> DataFrame:
     """Post-process an estimate in place: ``none``; ``clip`` at 0, then rescale to ``total``; ``normsub``: subtract
     the one constant that, after clipping, gives the total."""
@@ -126,8 +151,10 @@ def smooth(estimates: DataFrame, column: str, total: Column, by: list[str], mode
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     if mode == "clip":
         at_least = F.greatest(F.col(column), F.lit(0.0))
-        whole = F.sum(at_least).over(group)
-        return estimates.withColumn(column, F.when(whole > 0, at_least * total / whole).otherwise(F.lit(0.0)))
+        whole = estimates.groupBy(*by).agg(F.sum(at_least).alias("__whole"))  # a row a group
+        joined = estimates.join(F.broadcast(whole), by) if by else estimates.join(F.broadcast(whole))
+        scaled = F.when(F.col("__whole") > 0, at_least * total / F.col("__whole")).otherwise(F.lit(0.0))
+        return joined.select(*[scaled.alias(c) if c == column else F.col(c) for c in estimates.columns])
     if mode == "normsub":
         ordered = group.orderBy(F.desc(column)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         shift = (F.sum(column).over(ordered) - total) / F.row_number().over(group.orderBy(F.desc(column)))
@@ -140,12 +167,16 @@ def smooth(estimates: DataFrame, column: str, total: Column, by: list[str], mode
 # estimates of the private build
 
 
-def noisy_histogram(pairs: DataFrame, cohort: DataFrame, domain: int, epsilon: float, seed: int, mode: str = "clip") -> DataFrame:
-    """item, noisy_count over the underlying users: one sampled item each, reported with ``epsilon``."""
+def noisy_histogram(pairs: DataFrame, cohort: DataFrame, domain: int, config: Config) -> DataFrame:
+    """item, noisy_count over the underlying users: one sampled item each, reported with the report's epsilon."""
+    epsilon, seed = config.report_epsilon, config.seed
     under = pairs.join(cohort.where("role = 'underlying'").select("uid"), "uid", "left_semi")
     values = sample_item(under, seed).withColumnRenamed("item", "value")
-    made = aggregate(reports(values, F.lit(domain), epsilon, seed, "item_bits", ["uid"]), epsilon, [])
-    return smooth(made, "est_count", F.col("n"), [], mode).select(F.col("y").cast("int").alias("item"), F.col("est_count").alias("noisy_count"), "n")
+    if config.draws == "aggregate":
+        made = drawn_aggregate(values, pairs.sparkSession.range(domain).withColumnRenamed("id", "y"), epsilon, seed, "item_drawn", [])
+    else:
+        made = aggregate(reports(values, F.lit(domain), epsilon, seed, "item_bits", ["uid"]), epsilon, [])
+    return smooth(made, "est_count", F.col("n"), [], config.smooth).select(F.col("y").cast("int").alias("item"), F.col("est_count").alias("noisy_count"), "n")
 
 
 def node_users(cohort: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -158,47 +189,69 @@ def in_node(pairs: DataFrame, users: DataFrame, node_items: DataFrame) -> DataFr
     return pairs.join(users.select("node_id", "uid"), "uid").join(F.broadcast(node_items), ["node_id", "item"]).select("node_id", "uid", "item", "local_id")
 
 
-def pair_frequencies(pairs: DataFrame, users: DataFrame, node_items: DataFrame, sizes: DataFrame, epsilon: float, seed: int, mode: str = "clip") -> DataFrame:
+def pair_frequencies(pairs: DataFrame, users: DataFrame, node_items: DataFrame, sizes: DataFrame, config: Config) -> DataFrame:
     """node_id, a, b (local ids, a < b; null: fewer than two items), freq: co-occurrence inside each node by OUE
-    over 1 + K(K-1)/2 categories. Keys are the pairs themselves."""
+    over 1 + K(K-1)/2 categories. Keys are the pairs themselves, found from their numbers without a table of pairs."""
+    epsilon, seed = config.report_epsilon, config.seed
     sampled = sample_pair(in_node(pairs, users, node_items), seed, "pair_sample", ["node_id", "uid"], "local_id")
     everyone = users.select("node_id", "uid").join(sampled, ["node_id", "uid"], "left").join(F.broadcast(sizes), "node_id")
     values = everyone.select("node_id", "uid", "size", pair_id(F.col("a"), F.col("b"), F.col("size")).alias("value"))
-    wide = values.select("node_id", "uid", "value", F.explode(F.sequence(F.lit(0).cast("bigint"), (F.col("size") * (F.col("size") - 1) / 2).cast("bigint"))).alias("y"))
-    bits = wide.withColumn("bit", reported(F.col("value"), F.col("y"), epsilon, uniform(seed, "pair_bits", "node_id", "uid", "y")))
-    made = smooth(aggregate(bits, epsilon, ["node_id"]), "est_freq", F.lit(1.0), ["node_id"], mode)
-    locals_ = node_items.select("node_id", F.col("local_id").alias("a")).join(node_items.select("node_id", F.col("local_id").alias("b")), "node_id").where("a < b").join(F.broadcast(sizes), "node_id")
-    names = locals_.select("node_id", pair_id(F.col("a"), F.col("b"), F.col("size")).alias("y"), "a", "b")
-    return made.join(F.broadcast(names), ["node_id", "y"], "left").select("node_id", "a", "b", F.col("est_freq").alias("freq"))
-
-
-def cross_node_frequencies(pairs: DataFrame, cohort: DataFrame, leaves: DataFrame, epsilon: float, seed: int, mode: str = "clip") -> DataFrame:
+    every_pair = F.sequence(F.lit(0).cast("bigint"), _pairs_before(F.col("size") - 1, F.col("size")))
+    if config.draws == "aggregate":
+        made = drawn_aggregate(values, sizes.select("node_id", F.explode(every_pair).alias("y")), epsilon, seed, "pair_drawn", ["node_id"])
+    else:
+        wide = values.select("node_id", "uid", "value", F.explode(every_pair).alias("y"))
+        bits = wide.withColumn("bit", reported(F.col("value"), F.col("y"), epsilon, uniform(seed, "pair_bits", "node_id", "uid", "y")))
+        made = aggregate(bits, epsilon, ["node_id"])
+    made = smooth(made, "est_freq", F.lit(1.0), ["node_id"], config.smooth).join(F.broadcast(sizes), "node_id")
+    a, b = pair_of(F.col("y"), F.col("size"))
+    return made.select("node_id", a.alias("a"), b.alias("b"), F.col("est_freq").alias("freq"))
+
+
+def cross_node_frequencies(pairs: DataFrame, cohort: DataFrame, leaves: DataFrame, config: Config) -> DataFrame:
     """node_i, node_j (i < j), freq > 0: two of the leaves each underlying user touches, reported over the square
     of leaves and "no pair" (index L). ``leaves``: node_id, item, leaf (dense from 0)."""
+    estimates = leaf_pair_estimates(pairs, cohort, leaves, config)
+    made = smooth(estimates, "est_freq", F.lit(1.0), [], config.smooth)
+    named = leaves.select("leaf", "node_id").distinct()
+    one, two = (named.select(F.col("leaf").alias(k), F.col("node_id").alias(f"node_{k}")) for k in "ij")
+    return made.where((F.col("i") < F.col("j")) & (F.col("est_freq") > 0)).join(F.broadcast(one), "i").join(F.broadcast(two), "j").select("node_i", "node_j", F.col("est_freq").alias("freq"))
+
+
+def leaf_pair_estimates(pairs: DataFrame, cohort: DataFrame, leaves: DataFrame, config: Config) -> DataFrame:
+    """i, j, ones, n, est_count, est_freq over the square of 0..L."""
+    epsilon, seed = config.report_epsilon, config.seed
     under = cohort.where("role = 'underlying'").select("uid")
     touched = pairs.join(under, "uid", "left_semi").join(F.broadcast(leaves), "item").select("uid", "leaf").distinct()
     drawn = sample_pair(touched, seed, "node_pair_sample", ["uid"], "leaf")
     count = leaves.select("leaf").distinct().agg(F.count("*").cast("int").alias("l"))
     everyone = under.join(drawn, "uid", "left").join(F.broadcast(count))
     values = everyone.select("uid", "l", F.coalesce("a", "l").alias("vi"), F.coalesce("b", "l").alias("vj"))
-    grid = values.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("l")))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("l"))))
+    every = F.explode(F.sequence(F.lit(0), F.col("l")))
+    if config.draws == "aggregate":
+        side = F.col("l") + 1
+        cells = count.withColumn("y", F.explode(F.sequence(F.lit(0), side * side - 1)))
+        made = drawn_aggregate(values.select((F.col("vi") * side + F.col("vj")).alias("value")), cells, epsilon, seed, "node_pair_drawn", []).join(F.broadcast(count))
+        return made.withColumn("i", F.expr("y div (l + 1)").cast("int")).withColumn("j", F.expr("y % (l + 1)").cast("int")).drop("y", "l")
+    grid = values.withColumn("i", every).withColumn("j", every)
     hit = (F.col("i") == F.col("vi")) & (F.col("j") == F.col("vj"))
     draw = uniform(seed, "node_pair_bits", "uid", "i", "j")
     bits = grid.withColumn("bit", (draw < F.when(hit, F.lit(KEEP_RATE)).otherwise(F.lit(flip_rate(epsilon)))).cast("int"))
-    made = smooth(aggregate(bits, epsilon, [], ["i", "j"]), "est_freq", F.lit(1.0), [], mode)
-    named = leaves.select("leaf", "node_id").distinct()
-    one, two = (named.select(F.col("leaf").alias(k), F.col("node_id").alias(f"node_{k}")) for k in "ij")
-    return made.where((F.col("i") < F.col("j")) & (F.col("est_freq") > 0)).join(F.broadcast(one), "i").join(F.broadcast(two), "j").select("node_i", "node_j", F.col("est_freq").alias("freq"))
+    return aggregate(bits, epsilon, [], ["i", "j"])
 
 
-def intersection_histogram(pairs: DataFrame, users: DataFrame, node_items: DataFrame, sizes: DataFrame, epsilon: float, seed: int) -> DataFrame:
+def intersection_histogram(pairs: DataFrame, users: DataFrame, node_items: DataFrame, sizes: DataFrame, config: Config) -> DataFrame:
     """node_id, k (0..K), freq: how many of the node's items users hold, by direct OUE over the counts; clipped at 0
     and normalised. ``users`` are the node's first half."""
+    epsilon, seed = config.report_epsilon, config.seed
     held = in_node(pairs, users, node_items).groupBy("node_id", "uid").agg(F.count("*").alias("k"))
     values = users.select("node_id", "uid").join(held, ["node_id", "uid"], "left").join(F.broadcast(sizes), "node_id")
     values = values.select("node_id", "uid", "size", F.coalesce("k", F.lit(0)).alias("value"))
-    bits = reports(values.withColumn("__d", F.col("size") + 1), F.col("__d"), epsilon, seed, "size_bits", ["node_id", "uid"])
-    made = aggregate(bits, epsilon, ["node_id"])
+    if config.draws == "aggregate":
+        made = drawn_aggregate(values, sizes.select("node_id", F.explode(F.sequence(F.lit(0), F.col("size"))).alias("y")), epsilon, seed, "size_drawn", ["node_id"])
+    else:
+        bits = reports(values.withColumn("__d", F.col("size") + 1), F.col("__d"), epsilon, seed, "size_bits", ["node_id", "uid"])
+        made = aggregate(bits, epsilon, ["node_id"])
     return smooth(made, "est_freq", F.lit(1.0), ["node_id"], "clip").select("node_id", F.col("y").cast("int").alias("k"), F.col("est_freq").alias("freq"), "n")
 
 
@@ -208,7 +261,3 @@ def first_half(users: DataFrame, share: float = 0.5) -> DataFrame:
 
 def second_half(users: DataFrame, share: float = 0.5) -> DataFrame:
     return users.where(F.col("pos") > F.rint(F.col("block_size") * share))
-
-
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: r6(F.col(c)) for c in columns})

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions.prng import digest, uniform
+from ..storage import Scratch
 from . import minhash, oue, tails
 
 TINY = 1e-12
@@ -293,8 +294,8 @@ def estimate_nodes(pairs: DataFrame, cohort: DataFrame, nodes: DataFrame, node_i
     bins = minhash.user_bins(winners, full, sizes, config)
     return {
         "sizes": sizes,
-        "pair_freq": oue.pair_frequencies(pairs, users, node_items, sizes, config.report_epsilon, config.seed, config.smooth),
-        "oue_hist": oue.intersection_histogram(pairs, oue.first_half(users, config.dual_split), node_items, sizes, config.report_epsilon, config.seed),
+        "pair_freq": oue.pair_frequencies(pairs, users, node_items, sizes, config),
+        "oue_hist": oue.intersection_histogram(pairs, oue.first_half(users, config.dual_split), node_items, sizes, config),
         "winners": winners,
         "bins": bins,
         "minhash_hist": minhash.bin_histogram(bins),
@@ -316,15 +317,17 @@ def grow(pairs: DataFrame, items: DataFrame, config: Config) -> Build:
 
     A node is split if its proposal's error isn't larger than its own and it is above ``max_depth``; it needs
     a block of users, and nodes that would get none are not made. Small tables (a row per node or item) come
-    to the driver once a level; user tables are only described here and stay where they are.
+    to the driver once a level; tables of users and of pairs of items stay in the cluster, written once.
     """
     spark = pairs.sparkSession
     domain = items.count()
     users = pairs.select("uid").distinct()
-    cohort = oue.cohorts(users, config.alpha, config.blocks, config.seed).persist()
+    scratch = Scratch(spark, "growth")
+    pairs = scratch.save(pairs, "pairs")
+    cohort = scratch.save(oue.cohorts(users, config.alpha, config.blocks, config.seed), "cohort")
     total = cohort.count()
     underlying = math.floor(total * config.alpha)
-    hist = oue.noisy_histogram(pairs, cohort, domain, config.report_epsilon, config.seed, config.smooth)
+    hist = oue.noisy_histogram(pairs, cohort, domain, config)
     hist = spark.createDataFrame(hist.toPandas())  # a row per item
     probabilities = tails.item_probabilities(hist)
 
@@ -339,7 +342,8 @@ def grow(pairs: DataFrame, items: DataFrame, config: Config) -> Build:
         level_items = spark.createDataFrame([(n, x, i) for n in level for i, x in enumerate(members[n])], item_schema)
         depth = nodes[level[0]][2]
         estimates = estimate_nodes(pairs, cohort, level_nodes, level_items, config)
-        estimates["pair_freq"] = spark.createDataFrame(estimates["pair_freq"].toPandas(), "node_id int, a double, b double, freq double").withColumns({c: F.when(~F.isnan(c), F.col(c)).cast("int") for c in "ab"})
+        # a row for each pair of a node's items: they stay in the cluster
+        estimates["pair_freq"] = scratch.save(estimates["pair_freq"], "pairs")
         pair_rows.append(estimates["pair_freq"])
         wide = [n for n in level if len(members[n]) >= 2 * config.min_child]
         following: list[int] = []
@@ -348,7 +352,7 @@ def grow(pairs: DataFrame, items: DataFrame, config: Config) -> Build:
             samples = split_samples(level_items, estimates["sizes"], config)
             local = level_items.select("node_id", "item", "local_id")
             one, two = (local.select("node_id", F.col("item").alias(f"item_{k}"), F.col("local_id").alias(k)) for k in "ab")
-            pair_items = estimates["pair_freq"].where("a is not null").join(one, ["node_id", "a"]).join(two, ["node_id", "b"])
+            pair_items = estimates["pair_freq"].where("a is not null").join(F.broadcast(one), ["node_id", "a"]).join(F.broadcast(two), ["node_id", "b"])
             errors = split_errors(samples, proposed, probabilities, pair_items, max(1, len(nodes) - 1), total, config)
             better = {r["node_id"] for r in errors.collect() if r["err_split"] <= r["err_no"]}
             sides: dict[tuple[int, str], list[int]] = {}
@@ -374,6 +378,6 @@ def grow(pairs: DataFrame, items: DataFrame, config: Config) -> Build:
     return Build(
         config, total, underlying, hist, node_table, item_table, estimates["sizes"], pair_freq,
         spark.createDataFrame(estimates["oue_hist"].toPandas()), spark.createDataFrame(estimates["minhash_hist"].toPandas()),
-        estimates["winners"].persist(), estimates["bins"].persist(),
-        oue.cross_node_frequencies(pairs, cohort, leaves, config.report_epsilon, config.seed, config.smooth),
+        scratch.save(estimates["winners"], "winners"), scratch.save(estimates["bins"], "bins"),
+        scratch.save(oue.cross_node_frequencies(pairs, cohort, leaves, config), "cross"),
     )

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from ..config import EPSILON_GRID, Config
 from ..operators import answer, exact, tree
+from ..storage import Scratch
 
 
 def evaluate(pairs: DataFrame, items: DataFrame, queries: DataFrame, config: Config = Config(), epsilons: Iterable[float] = EPSILON_GRID) -> tuple[DataFrame, DataFrame]:
     """(answers, metrics). answers: epsilon, qid, f_hat, est_count, true_count, users and the components."""
     chosen = exact.sample_queries(queries, config.max_queries, config.seed)
-    truth = exact.overlap_counts(pairs, chosen).persist()
+    truth = Scratch(pairs.sparkSession, "truth").save(exact.overlap_counts(pairs, chosen))
 
     def one(epsilon: float) -> DataFrame:
         built = tree.grow(pairs, items, replace(config, epsilon=epsilon))
