@@ -59,6 +59,16 @@ class Fixture:
                 made[name] = self.scratch.save(made[name], name)
         return made[name]
 
+    #: Made of no report, so the same at every epsilon.
+    EXACT = ("pairs", "cohort", "queries", "users", "static", "nodes", "node_items", "sizes", "node_users", "first", "second", "leaves", "selected", "asked")
+
+    def at_epsilon(self, epsilon: float) -> Fixture:
+        """The same baskets and partition with reports of another epsilon; exact tables are shared."""
+        other = Fixture.__new__(Fixture)
+        shared = {name: getattr(self, name) for name in self.EXACT}
+        other.__dict__ |= self.__dict__ | {"config": replace(self.config, epsilon=epsilon), "_made": shared}
+        return other
+
     def _queries(self):
         return tables.default_queries(self.spark, self.items)
 
@@ -221,47 +231,61 @@ def e2_query_sample(spark, sf_dir):
     return exact.sample_queries(Fixture(spark, sf_dir).queries, 7, SEED).select("qid", "threshold")
 
 
-#: Estimates off by a known amount stand in for a build where a metric alone is shown.
-_OFF_SQL = "select qid, true_count, users, e.epsilon, round_even(greatest(0, least(1, true_count / users + (qid % 5 - 2) / (10e0 * e.epsilon))) * users, 0)::bigint as est_count from truth, (values (0.5e0), (2e0), (8e0)) e(epsilon)"
+#: Answers from the static partition, built anew for each epsilon of the grid.
+_SWEEP_SQL = " union all ".join(
+    f"select {e!r}::double as epsilon, qid, true_count, users, round_even(f_hat * users, 0)::bigint as est_count from ({sql('select qid, f_hat, true_count, users from answers_ join truth using (qid)', replace(CONFIG, epsilon=e))})"
+    for e in EPSILON_GRID
+)
+#: An application's sweeps: five queries read them.
+_swept: dict[tuple[str, str], DataFrame] = {}
 
 
-def _off(f: Fixture) -> DataFrame:
-    truth = exact.overlap_counts(f.pairs, f.queries)
+def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """epsilon, qid, true_count, users, est_count: what depends on no epsilon is made once, and all of it once an application."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _swept:
+        base = Fixture(spark, sf_dir, stored=True)
+        truth = base.scratch.save(exact.overlap_counts(base.pairs, base.queries), "truth")
 
-    def one(epsilon: float) -> DataFrame:
-        estimate = F.col("true_count") / F.col("users") + (F.col("qid") % 5 - 2) / F.lit(10.0 * epsilon)
-        return truth.withColumn("est_count", exact.estimated_count(estimate, F.col("users"))).select("qid", "true_count", "users", "est_count")
+        def one(epsilon: float) -> DataFrame:
+            f = base.at_epsilon(epsilon)
+            got = answer.answers(f.build, f.queries).join(truth.select("qid", "true_count", "users"), "qid")
+            return base.scratch.save(got.select("qid", "true_count", "users", exact.estimated_count(F.col("f_hat"), F.col("users")).alias("est_count")), "swept")
 
-    return exact.sweep((0.5, 2.0, 8.0), one)
+        _swept[key] = exact.sweep(EPSILON_GRID, one)
+    return _swept[key]
 
 
-@register(sql(f"select qid, epsilon, est_count, true_count from ({_OFF_SQL})"))
+@register(f"select qid, epsilon, est_count, true_count from ({_SWEEP_SQL})")
 def e3_estimated_count(spark, sf_dir):
-    return _off(Fixture(spark, sf_dir)).select("qid", "epsilon", "est_count", "true_count")
+    return _sweep(spark, sf_dir).select("qid", "epsilon", "est_count", "true_count")
 
 
 _MSE_SQL = "avg(((true_count - est_count) / users) * ((true_count - est_count) / users))"
 _MRE_SUM_SQL = "sum(case when true_count > 0 then least(100, abs(est_count - true_count) / true_count) else 0 end)"
 
 
-@register(sql(f"select epsilon, {s6(_MSE_SQL)} as mse from ({_OFF_SQL}) group by epsilon"))
+@register(f"select epsilon, {s6(_MSE_SQL)} as mse from ({_SWEEP_SQL}) group by epsilon")
 def e4_mse(spark, sf_dir):
-    return rounded(exact.metrics(_off(Fixture(spark, sf_dir))), "mse").select("epsilon", "mse")
+    return rounded(exact.metrics(_sweep(spark, sf_dir)), "mse").select("epsilon", "mse")
 
 
-@register(sql(f"select epsilon, {s6(_MRE_SUM_SQL + ' / count(*)')} as mre, {s6(_MRE_SUM_SQL + ' / greatest(1, count(*) filter (true_count > 0))')} as mre_positive from ({_OFF_SQL}) group by epsilon"))
+@register(f"select epsilon, {s6(_MRE_SUM_SQL + ' / count(*)')} as mre, {s6(_MRE_SUM_SQL + ' / greatest(1, count(*) filter (true_count > 0))')} as mre_positive from ({_SWEEP_SQL}) group by epsilon")
 def e5_mre(spark, sf_dir):
-    return rounded(exact.metrics(_off(Fixture(spark, sf_dir))), "mre", "mre_positive").select("epsilon", "mre", "mre_positive")
+    return rounded(exact.metrics(_sweep(spark, sf_dir)), "mre", "mre_positive").select("epsilon", "mre", "mre_positive")
 
 
-@register(sql(f"select epsilon, count(*) as answers, sum(est_count)::bigint as est_total from ({_OFF_SQL}) group by epsilon"))
+@register(f"select epsilon, count(*) as answers, sum(est_count)::bigint as est_total, sum(true_count)::bigint as true_total from ({_SWEEP_SQL}) group by epsilon")
 def e6_epsilon_sweep(spark, sf_dir):
-    return _off(Fixture(spark, sf_dir)).groupBy("epsilon").agg(F.count("*").alias("answers"), F.sum("est_count").alias("est_total"))
+    return _sweep(spark, sf_dir).groupBy("epsilon").agg(F.count("*").alias("answers"), F.sum("est_count").alias("est_total"), F.sum("true_count").alias("true_total"))
 
 
-@register(sql(f"select epsilon, {s6(_MSE_SQL)} as mse, {s6(_MRE_SUM_SQL + ' / count(*)')} as mre from ({_OFF_SQL}) group by epsilon"))
+@register(f"select epsilon, {s6(_MSE_SQL)} as mse, {s6(_MRE_SUM_SQL + ' / count(*)')} as mre from ({_SWEEP_SQL}) group by epsilon")
 def s4_metrics_sink(spark, sf_dir):
-    return text.write_metrics(rounded(exact.metrics(_off(Fixture(spark, sf_dir))), "mse", "mre").select("epsilon", "mse", "mre"))
+    """Written as Parquet and read back."""
+    path = f"{Scratch(spark, 'metrics').root}/metrics"
+    text.write_metrics(rounded(exact.metrics(_sweep(spark, sf_dir)), "mse", "mre").select("epsilon", "mse", "mre"), path)
+    return spark.read.parquet(path)
 
 
 @register()
@@ -476,6 +500,20 @@ def t3_node_halves(spark, sf_dir):
     return Fixture(spark, sf_dir).node_users.groupBy("node_id").agg(F.count("*").alias("users"), F.count_if(F.col("pos") <= F.rint(F.col("block_size") * 0.5)).alias("direct"))
 
 
+_ESTIMATES_SQL = f"""select node_id, 'pair' as part, coalesce(a, -1)::bigint as x, coalesce(b, -1)::bigint as y, {s6('freq')} as freq from pair_freq
+  union all select node_id, 'direct', k, -1, {s6('freq')} from oue_hist union all select node_id, 'minhash', k, -1, {s6('freq')} from mh_hist"""
+
+
+@register(sql(_ESTIMATES_SQL))
+def t3_node_estimates(spark, sf_dir):
+    """All that a node's users report: pairs from the whole block, sizes from one half, MinHash from the other."""
+    f = Fixture(spark, sf_dir)
+    made = tree.estimate_nodes(f.pairs, f.cohort, f.nodes, f.node_items, CONFIG)
+    named = lambda df, part, x, y: df.select("node_id", F.lit(part).alias("part"), x.cast("bigint").alias("x"), y.cast("bigint").alias("y"), r6(F.col("freq")).alias("freq"))
+    pairs = named(made["pair_freq"], "pair", F.coalesce("a", F.lit(-1)), F.coalesce("b", F.lit(-1)))
+    return pairs.unionByName(named(made["oue_hist"], "direct", F.col("k"), F.lit(-1))).unionByName(named(made["minhash_hist"], "minhash", F.col("k"), F.lit(-1)))
+
+
 @register()
 def t4_split_proposal(spark, sf_dir):
     f = Fixture(spark, sf_dir)
@@ -495,7 +533,21 @@ def t4b_item_strength(spark, sf_dir):
     return rounded(tree.strengths(tree.pmi_weights(f.pair_freq, f.node_p)), "s")
 
 
-@register()
+_CHAIN_SQL = """select node_id, local_id, position from (
+  with recursive known as (select node_id, a as x, b as y, round(w, 9) as w from pmi where a is not null union all select node_id, b, a, round(w, 9) from pmi where a is not null),
+  strong as (select node_id, local_id, coalesce(sum(w), 0) as s from ni left join known using (node_id) where known.x is null or known.x = ni.local_id group by node_id, local_id),
+  walk as (
+    select node_id, 0 as position, first(local_id order by s desc, local_id) as local_id, [first(local_id order by s desc, local_id)] as seen from strong group by node_id
+    union all
+    select node_id, position + 1, best, list_append(seen, best) from (
+      select k.node_id, k.position, k.seen,
+        case when max(coalesce(e.w, 0)) > 0 then first(t.local_id order by coalesce(e.w, 0) desc, t.local_id) else first(t.local_id order by t.s desc, t.local_id) end as best
+      from walk k join strong t on t.node_id = k.node_id and not list_contains(k.seen, t.local_id)
+      left join known e on e.node_id = k.node_id and e.x = k.local_id and e.y = t.local_id group by k.node_id, k.position, k.seen)
+  ) select node_id, local_id, position from walk)"""
+
+
+@register(sql(_CHAIN_SQL))
 def t4c_greedy_chain(spark, sf_dir):
     f = Fixture(spark, sf_dir)
     return tree.chains(tree.pmi_weights(f.pair_freq, f.node_p), f.sizes)
@@ -560,13 +612,28 @@ def t8_static_tree(spark, sf_dir):
     return Fixture(spark, sf_dir).nodes
 
 
-@register()
+_ALLOCATION_SQL = """select node_id, allocated, left_over from (
+  with recursive up as (select node_id as below, node_id from nodes union all select up.below, n.parent_id from up join nodes n using (node_id) where n.parent_id is not null),
+  tall as (select up.node_id, max(b.depth) - any_value(n.depth) + 1 as height from up join nodes b on b.node_id = up.below join nodes n on n.node_id = up.node_id group by up.node_id),
+  given as (
+    select node_id, u // height as allocated, u - u // height as left_over from nodes join tall using (node_id), (select count(*) as u from users) where parent_id is null
+    union all select n.node_id, g.left_over // t.height, g.left_over - g.left_over // t.height from given g join nodes n on n.parent_id = g.node_id join tall t on t.node_id = n.node_id
+  ) select node_id, allocated::bigint as allocated, left_over::bigint as left_over from given)"""
+
+
+@register(sql(_ALLOCATION_SQL))
 def t9_uniform_allocation(spark, sf_dir):
     f = Fixture(spark, sf_dir)
     rows = tree.uniform_allocation(tree.static_tree(25, 2, SMALLEST), f.users.count())
     return spark.createDataFrame([(n, a, b) for n, (a, b) in rows.items()], "node_id int, allocated bigint, left_over bigint")
 
 
+@register(sql("select node_id, size, array_to_string(range(1, size, size // 2), ' ') as starts from nodes"))
+def t15_node_guard(spark, sf_dir):
+    f = Fixture(spark, sf_dir)
+    return tree.guarded(f.nodes, 2).select("node_id", "size", F.array_join(F.col("starts").cast("array<string>"), " ").alias("starts"))
+
+
 @register(sql("select node_id, depth, row_number() over (order by depth, node_id) as position from nodes"))
 def t10_breadth_first(spark, sf_dir):
     return tree.breadth_first(Fixture(spark, sf_dir).nodes).select("node_id", "depth", "position")

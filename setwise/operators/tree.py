@@ -58,6 +58,15 @@ def static_tables(spark: SparkSession, nodes: list[Node], items: DataFrame) -> t
     return table.drop("lo", "hi"), minhash.local_domain(ranged.select("node_id", "item"))
 
 
+def guarded(nodes: DataFrame, fanout: int) -> DataFrame:
+    """The nodes with ``starts``: where groups of size div fanout items begin, from 1. Fails on a node of fewer items than ``fanout``."""
+    step = F.expr(f"size div {int(fanout)}")
+    enough = F.assert_true(step >= 1, F.lit("a node needs at least fanout items"))
+    last = F.greatest(F.col("size") - 1, F.lit(1)).cast("bigint")
+    starts = F.when(enough.isNull(), F.when(F.col("size") > 1, F.sequence(F.lit(1).cast("bigint"), last, step)).otherwise(F.array().cast("array<bigint>")))
+    return nodes.withColumn("starts", starts)
+
+
 def uniform_allocation(nodes: list[Node], users: int) -> dict[int, tuple[int, int]]:
     """node -> (allocated, left for its children): each node takes 1 / (levels below and with it) of what its parent left."""
     height = {n.node_id: 1 for n in nodes}
