@@ -238,3 +238,82 @@ def test_stream_equals_batch(spark, tmp_path):
     assert key(spark.table("est")) == key(batch)
     reports.run_available(reports.windowed_estimates(stream, 1.0), "win", str(tmp_path / "c2"), "complete")
     assert key(spark.table("win")) == key(reports.windowed_estimates(spark.read.parquet(str(tmp_path / "in")), 1.0))
+
+
+def test_pair_numbers_and_pairs_are_inverse(spark):
+    """All pairs of small domains, and the edges of domains of thousands of items."""
+    sizes = [2, 3, 7, 60]
+    rows = [(k, y) for k in sizes for y in range(0, k * (k - 1) // 2 + 1)]
+    for k in (5298, 100_000):
+        top = k * (k - 1) // 2
+        rows += [(k, y) for y in (0, 1, 2, k - 1, k, k + 1, 2 * k - 3, 2 * k - 2, top // 2, top - 2, top - 1, top)]
+    table = spark.createDataFrame(rows, "size int, y bigint")
+    a, b = oue.pair_of(F.col("y"), F.col("size"))
+    back = table.withColumns({"a": a, "b": b}).withColumn("again", oue.pair_id(F.col("a"), F.col("b"), F.col("size"))).collect()
+    assert all(r["again"] == r["y"] for r in back)
+    assert all((r["a"] is None) == (r["y"] == 0) and (r["y"] == 0 or 0 <= r["a"] < r["b"] < r["size"]) for r in back)
+    assert len({(r["size"], r["a"], r["b"]) for r in back}) == len(set(rows))
+
+
+def test_drawn_aggregates_have_the_law_of_reports(spark):
+    """Both ways estimate the same frequencies within their standard error; every element is there, also unseen ones."""
+    n, domain = 6000, 8
+    values = spark.range(n).select(F.col("id").alias("uid"), F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 5).cast("int").alias("value"))
+    true = {r["value"]: r["c"] / n for r in values.groupBy("value").agg(F.count("*").alias("c")).collect()}
+    cells = spark.range(domain).withColumnRenamed("id", "y")
+    drawn = oue.drawn_aggregate(values.select("value"), cells, 2.0, 7, "test", [])
+    reported = oue.aggregate(oue.reports(values, F.lit(domain), 2.0, 7, "bits", ["uid"]), 2.0, [])
+    q = flip_rate(2.0)
+    error = 5 * math.sqrt(0.25 / n) / (0.5 - q)
+    for made in (drawn, reported):
+        got = {r["y"]: (r["est_freq"], r["n"]) for r in made.collect()}
+        assert sorted(got) == list(range(domain)) and {v[1] for v in got.values()} == {n}
+        assert all(abs(got[y][0] - true.get(y, 0.0)) < error for y in got)
+    again = oue.drawn_aggregate(values.repartition(7).select("value"), cells.repartition(3), 2.0, 7, "test", [])
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, drawn.collect()))
+
+
+def test_keyed_blake_matches_hashlib(spark):
+    import hashlib
+
+    things = spark.createDataFrame([(e, i) for e in range(3) for i in range(20)], "ell int, item int")
+    for r in minhash.hashed_output_blake(things, 11, 16).collect():
+        digest = hashlib.blake2b(str(r["item"]).encode(), digest_size=8, key=f"11|{r['ell']}".encode()).digest()
+        assert r["out"] == int.from_bytes(digest, "big") % 16
+
+
+def test_lines_are_numbered_over_splits_and_files(spark, tmp_path):
+    lines = [f"{i % 4} {i},{i + 1}" if i % 9 else " " for i in range(400)]
+    (tmp_path / "q").mkdir()
+    (tmp_path / "q" / "a.txt").write_text("\n".join(lines[:300]) + "\n")
+    (tmp_path / "q" / "b.txt").write_text("\n".join(lines[300:]) + "\n")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        got = {r["qid"]: (r["threshold"], r["items"]) for r in text.read_queries(spark, str(tmp_path / "q")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    filled = [i for i in range(400) if i % 9]
+    assert got == {n: (i % 4, [i, i + 1]) for n, i in enumerate(filled)}
+    (tmp_path / "f.txt").write_text("0.5\n\n0.25\n 0.125 \n9\n")
+    assert [(r["qid"], r["freq"]) for r in text.read_frequencies(spark, str(tmp_path / "f.txt"), 3).orderBy("qid").collect()] == [(0, 0.5), (1, 0.25), (2, 0.125)]
+
+
+def test_guard_refuses_small_nodes(spark):
+    nodes = spark.createDataFrame([(0, 25), (1, 2)], "node_id int, size int")
+    assert {r["node_id"]: r["starts"] for r in tree.guarded(nodes, 2).collect()} == {0: [1, 13], 1: [1]}
+    with pytest.raises(Exception, match="fanout"):
+        tree.guarded(nodes, 3).collect()
+
+
+def test_split_proposal_keeps_the_chain_together(spark):
+    """Both sides of a proposed cut are runs of the greedy chain, and have the least size at least."""
+    from setwise import catalog
+
+    f = catalog.Fixture(spark, "/root/testdata/sf0.001", stored=True)
+    made = {"pair_freq": f.pair_freq, "sizes": f.sizes, "winners": f.winners, "minhash_hist": f.minhash_hist}
+    sides = {(r["node_id"], r["item"]): r["side"] for r in tree.proposals(made, f.node_items, f.probabilities, catalog.CONFIG).collect()}
+    chain = tree.chains(tree.pmi_weights(f.pair_freq, f.node_p), f.sizes).join(f.node_items, ["node_id", "local_id"]).orderBy("node_id", "position").collect()
+    for node in {n for n, _ in sides}:
+        run = "".join(sides[node, r["item"]] for r in chain if r["node_id"] == node)
+        assert run == "A" * run.count("A") + "B" * run.count("B") and min(run.count("A"), run.count("B")) >= catalog.CONFIG.min_child
