@@ -11,6 +11,10 @@ from ..functions.mathx import clip01
 from ..functions.prng import digest
 
 
+#: Queries that one pass over baskets answers.
+MOST_SMALL = 100
+
+
 def overlap_counts(pairs: DataFrame, queries: DataFrame) -> DataFrame:
     """true_count of each query: users who hold at least ``threshold`` of its items.
 
@@ -27,8 +31,13 @@ def overlap_counts(pairs: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def overlap_counts_small(baskets: DataFrame, queries: DataFrame) -> DataFrame:
-    """The same for a handful of queries, by one pass over ``baskets`` (uid, items) without a shuffle of users."""
-    chosen = queries.select("qid", "threshold", "items").collect()
+    """The same for up to ``MOST_SMALL`` queries, by one pass over ``baskets`` (uid, items) without a shuffle of users.
+
+    More are an error: every query is an expression of the plan.
+    """
+    chosen = queries.select("qid", "threshold", "items").limit(MOST_SMALL + 1).collect()
+    if len(chosen) > MOST_SMALL:
+        raise ValueError(f"more than {MOST_SMALL} queries: use overlap_counts")
     hit = lambda q: F.size(F.array_intersect("items", F.array(*[F.lit(i) for i in q["items"]]).cast("array<int>"))) >= q["threshold"]
     counts = baskets.agg(*[F.count_if(hit(q)).alias(f"q{i}") for i, q in enumerate(chosen)])
     rows = F.explode(F.array(*[F.struct(F.lit(q["qid"]).cast("bigint").alias("qid"), F.lit(q["threshold"]).alias("threshold"), F.col(f"q{i}").alias("true_count")) for i, q in enumerate(chosen)]))
