@@ -6,7 +6,7 @@ histogram of lengths (at most ``budget`` rows): longest first, each piece goes i
 the sum of squared counts of open bins per residual gap smallest, and opens a bin only where none fits
 (weighing a new bin in the same sum costs bins when the longest come first; README has figures).
 
-Pieces of one length are placed in runs of a 32nd of those left, whatever their number, so the last 32 go
+Pieces of one length are placed in runs of a 16th of those left, whatever their number, so the last 16 go
 one by one. The plan's size and time grow with the logarithm of the number of pieces. Pieces then find
 their place by their rank among pieces of their length, through counts per partition: no sort, no group in
 one task.
@@ -33,7 +33,7 @@ from tokenizers import Tokenizer
 from .common import Scratch, bound_batches
 
 #: A run is this part of a length's pieces that are left: a plan has about RUNS * ln(pieces) rows a length.
-RUNS = 32
+RUNS = 16
 #: Parts into which a length's ranks are divided, for the join that looks a piece's place up.
 SLOTS = 64
 
