@@ -31,8 +31,9 @@ from .components import components
 
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Rounds of further leaders, for open buckets of so many members.
-LEADER_ROUNDS, LEADER_SIZE = 2, 64
+#: Rounds of further leaders, for buckets of so many members, while so many pairs of members are open in all: fewer
+#: are compared faster than a round takes. Results don't depend on these.
+LEADER_ROUNDS, LEADER_SIZE, LEADER_PAIRS = 2, 64, 1_000_000_000
 #: Members of a bucket on a side of a tile, and the logarithm of a size class (a hair over a link's most).
 TILE, SIZE_STEP = 4000, math.log(100 / PERCENT) * 1.0001
 
@@ -193,11 +194,17 @@ def near_components(docs: DataFrame) -> DataFrame:
     for turn in range(LEADER_ROUNDS + 1):
         labelled = inside.select("bucket", "cid").join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
         labelled = scratch.save(labelled, "labelled")
-        by_bucket = labelled.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.min_by(F.struct("cid", "component"), F.xxhash64("cid", F.lit(turn))).alias("leader"))
-        still_open = scratch.save(by_bucket.where("lo < hi").select("bucket", "size", "leader"), "open")
-        if turn == LEADER_ROUNDS or not still_open.where(F.col("size") >= LEADER_SIZE).take(1):
+        parts = labelled.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min_by("cid", F.xxhash64("cid", F.lit(turn))).alias("cid"))
+        by_bucket = parts.groupBy("bucket").agg(
+            F.count("*").alias("parts"), F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n").cast("double")).alias("squares"),
+            F.min_by(F.struct("cid", "component"), F.xxhash64("cid", F.lit(turn))).alias("leader"),
+        )
+        still_open = scratch.save(by_bucket.where("parts > 1"), "open")
+        large = still_open.where(F.col("size") >= LEADER_SIZE)
+        pairs = large.agg(F.sum((F.col("size").cast("double") * F.col("size") - F.col("squares")) / 2)).first()[0]
+        if turn == LEADER_ROUNDS or (pairs or 0) < LEADER_PAIRS:
             break
-        led = labelled.join(still_open.where(F.col("size") >= LEADER_SIZE), "bucket").where("component <> leader.component")
+        led = labelled.join(large, "bucket").where("component <> leader.component")
         more = _star_links(scratch, led.select(F.col("cid").alias("a"), F.col("leader.cid").alias("b")), sketches, sets)
         if not more.take(1):
             continue
@@ -206,9 +213,11 @@ def near_components(docs: DataFrame) -> DataFrame:
     tiles = F.ceil(F.col("size") / F.lit(TILE)).cast("int").alias("tiles")
     left = labelled.join(still_open.select("bucket", tiles), "bucket").join(sketches, "cid").join(classes.select("cid", "bands"), "cid")
     left = scratch.save(left.withColumn("size_class", F.floor(F.log("n") / F.lit(SIZE_STEP)).cast("int")), "open-members")
-    narrow = _open_pairs(left.where("level <= 1"), [*SKETCH, "bands"], similar_enough("a_", "b_", _narrow_flips("a_", "b_")) & _is_narrow("a_", "b_"))
-    wide = _open_pairs(left.where("level >= 1"), ["n", "level", *WIDE, "bands"], similar_enough("a_", "b_", _wide_flips("a_", "b_")))
-    rest = scratch.save(narrow.unionByName(wide), "rest-pairs")
+    rest = _open_pairs(left.where("level <= 1"), [*SKETCH, "bands"], similar_enough("a_", "b_", _narrow_flips("a_", "b_")) & _is_narrow("a_", "b_"))
+    long = left.where("level >= 1")
+    if long.take(1):
+        rest = rest.unionByName(_open_pairs(long, ["n", "level", *WIDE, "bands"], similar_enough("a_", "b_", _wide_flips("a_", "b_"))))
+    rest = scratch.save(rest, "rest-pairs")
     more = scratch.save(confirmed(rest, sets), "rest-links")
     if more.take(1):
         found = scratch.save(components(_joined(found, more)), "components")

@@ -359,6 +359,7 @@ def test_open_buckets_of_any_layout(spark, monkeypatch):
         monkeypatch.setattr(near_dedup, "TILE", tile)
         monkeypatch.setattr(near_dedup, "LEADER_SIZE", size)
         monkeypatch.setattr(near_dedup, "LEADER_ROUNDS", rounds)
+        monkeypatch.setattr(near_dedup, "LEADER_PAIRS", 0)
         got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_components(docs).collect())
         assert got == want, (tile, size, rounds)
 
