@@ -426,7 +426,7 @@ def h3_hashed_output_blake(spark, sf_dir):
 
 @register(sql(f"select uid, ell, arg_min(item, {digest_sql(SEED, 'perm', 'ell', 'item')}) as winner from bi, ells group by uid, ell"))
 def h4_batch_user_signatures(spark, sf_dir):
-    return minhash.signatures(Fixture(spark, sf_dir).pairs, ["uid"], CONFIG.hashes, SEED)
+    return minhash.batch_signatures(Fixture(spark, sf_dir).pairs, ["uid"], CONFIG.hashes, SEED)
 
 
 @register(sql(f"select qid, ell, arg_min(item, {digest_sql(SEED, 'perm', 'ell', 'item')}) as winner from qi, ells group by qid, ell"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +33,42 @@ def signatures(things: DataFrame, by: list[str], hashes: int, seed: int, item: s
     return wide.groupBy(*by, "ell").agg(F.min_by(item, rank_of(seed, "ell", item)).alias("winner"))
 
 
+def batch_signatures(things: DataFrame, by: list[str], hashes: int, seed: int, item: str = "item") -> DataFrame:
+    """``signatures`` of very many groups of whole-number items, each a set that fits a row: groups are shuffled and
+    sorted as sets, and only the result has a row a hash function.
+
+    The digests of a batch's distinct items are taken once; a winner is the item of least rank among them.
+    """
+    cached = 2**21  # ranks kept from batch to batch
+
+    @F.arrow_udf("array<bigint>")
+    def winners(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known, ranks, order = np.empty(0, np.int64), None, None
+        for sets in batches:
+            flat, sizes = sets.flatten().to_numpy(zero_copy_only=False), sets.value_lengths().to_numpy(zero_copy_only=False)
+            if not len(sizes):
+                yield pa.array([], pa.list_(pa.int64()))
+                continue
+            seen = np.unique(flat)
+            if not np.isin(seen, known).all():
+                both = np.union1d(seen, known)
+                known = both if len(both) * hashes <= cached else seen
+                ranks, order = np.empty((hashes, len(known)), np.int32), np.empty((hashes, len(known)), np.int32)
+                for ell in range(hashes):
+                    digests = np.array([hashlib.md5(f"{seed}|perm|{ell}|{i}".encode()).digest() for i in known.tolist()], "S16")
+                    order[ell] = np.argsort(digests)
+                    ranks[ell, order[ell]] = np.arange(len(known), dtype=np.int32)
+            at, starts = np.searchsorted(known, flat), np.cumsum(sizes) - sizes
+            out = np.empty((len(sizes), hashes), np.int64)
+            for ell in range(hashes):
+                out[:, ell] = known[order[ell][np.minimum.reduceat(ranks[ell][at], starts)]]
+            yield pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, hashes, dtype=np.int32)), pa.array(out.ravel()))
+
+    kind = things.schema[item].dataType
+    sets = things.where(F.col(item).isNotNull()).groupBy(*by).agg(F.collect_set(F.col(item).cast("bigint")).alias("__items"))
+    return sets.select(*by, winners("__items").alias("__won")).select(*by, F.posexplode("__won").alias("ell", "winner")).withColumn("winner", F.col("winner").cast(kind))
+
+
 def signature_array(items: Column, hashes: int, seed: int) -> Column:
     """The whole signature of an array of items in one row; -1 in every slot of an empty set."""
     slot = lambda ell: F.array_min(F.transform(items, lambda x: F.struct(rank_of(seed, ell, x).alias("r"), x.alias("i"))))["i"]

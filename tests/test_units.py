@@ -317,3 +317,28 @@ def test_split_proposal_keeps_the_chain_together(spark):
     for node in {n for n, _ in sides}:
         run = "".join(sides[node, r["item"]] for r in chain if r["node_id"] == node)
         assert run == "A" * run.count("A") + "B" * run.count("B") and min(run.count("A"), run.count("B")) >= catalog.CONFIG.min_child
+
+
+def test_batch_signatures_are_signatures(spark):
+    """Repeats, nulls, negative and very large items, a set of thousands, more items than are cached, more batches than one."""
+    draw = random.Random(5)
+    rows = [(u, "x" if u % 2 else None, draw.randrange(-50, 50) * 10**15) for u in range(300) for _ in range(1 + u % 7)] * 2
+    rows += [(300, "x", i) for i in range(7000)] + [(301, "x", None), (302, "x", None), (302, "x", 4)]
+    things = spark.createDataFrame(rows, "uid bigint, kind string, item bigint")
+    plain = minhash.signatures(things.where("item is not null"), ["uid", "kind"], 7, 3).collect()
+    assert sorted(map(str, minhash.batch_signatures(things, ["uid", "kind"], 7, 3).collect())) == sorted(map(str, plain))
+    few = things.where("uid < 20 and item is not null")
+    assert sorted(map(str, minhash.batch_signatures(few, ["uid", "kind"], 400, 3).collect())) == sorted(map(str, minhash.signatures(few, ["uid", "kind"], 400, 3).collect()))
+    many = spark.range(9000).select(F.floor(F.col("id") / 2).alias("uid"), F.col("id").cast("int").alias("item"))
+    got, wanted = minhash.batch_signatures(many, ["uid"], 300, 3), minhash.signatures(many, ["uid"], 300, 3)
+    assert got.schema["winner"].dataType == wanted.schema["winner"].dataType
+    assert got.count() == 4500 * 300 and not got.exceptAll(wanted.withColumn("ell", F.col("ell"))).count()
+
+
+def test_user_signatures_are_not_shuffled_by_hash(spark):
+    """Users' sets are shuffled and sorted, never a row for each user and hash function."""
+    from setwise import catalog
+
+    plan = catalog.h4_batch_user_signatures(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    rows = [line for line in plan.split("\n") if "Generate" in line or "Exchange" in line or "Sort " in line]
+    assert "Generate" in rows[0] and sum("Generate" in line for line in rows) == 1
