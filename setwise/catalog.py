@@ -373,9 +373,11 @@ def f2_oue_aggregate_simulated(spark, sf_dir):
 
 def _customer_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Config]:
     """(items, pairs, config) of a domain of thousands of items, too many for single reports."""
+    scratch = Scratch(spark, "parts")
     bought = tables.customer_parts(spark, sf_dir).distinct()
-    items = tables.encode_items(bought)
-    return items, tables.basket_items(bought, items), replace(CONFIG, draws="aggregate")
+    items = scratch.save(tables.encode_items(bought), "items")
+    pairs = bought.join(items, "raw_key").select("uid", "item")  # too many items to broadcast
+    return items, scratch.save(pairs, "pairs"), replace(CONFIG, draws="aggregate")
 
 
 _PARTS_SQL = f"""with bought as (select distinct o_custkey as uid, l_partkey from lineitem join orders on l_orderkey = o_orderkey),
@@ -386,14 +388,18 @@ select node_id, 1 + size * (size - 1) // 2 as cells, n, 1e0 as whole from sized"
 
 @register(_PARTS_SQL)
 def f9_pair_frequency_of_parts(spark, sf_dir):
-    """Pair frequencies of all parts and of their halves: every cell is estimated, and a node's add up to 1."""
+    """Pair frequencies of all parts and of their halves: every cell is estimated, and a node's add up to 1.
+
+    The cells are counted by their estimate, of the same draws that ``oue.pair_frequencies`` gives a row a cell.
+    """
     items, pairs, config = _customer_parts(spark, sf_dir)
     domain = items.count()
     nodes, node_items = tree.static_tables(spark, tree.static_tree(domain, 2, domain), items)
-    cohort = oue.cohorts(pairs.select("uid").distinct(), config.alpha, config.blocks, SEED)
-    users = oue.node_users(cohort, nodes)
-    freq = oue.pair_frequencies(pairs, users, node_items, minhash.node_sizes(node_items), config)
-    counted = freq.groupBy("node_id").agg(F.count("*").alias("cells"), r6(F.sum("freq")).alias("whole"))
+    scratch = Scratch(spark, "parts")
+    node_items = scratch.save(node_items, "node_items")
+    users = scratch.save(oue.node_users(oue.cohorts(pairs.select("uid").distinct(), config.alpha, config.blocks, SEED), nodes), "users")
+    _, freq = oue.pair_runs(pairs, users, node_items, minhash.node_sizes(node_items), config)
+    counted = freq.groupBy("node_id").agg(F.sum("cells").alias("cells"), r6(F.sum(F.col("freq") * F.col("cells"))).alias("whole"))
     return counted.join(users.groupBy("node_id").agg(F.count("*").alias("n")), "node_id").select("node_id", "cells", "n", "whole")
 
 

@@ -143,6 +143,122 @@ def drawn_aggregate(values: DataFrame, cells: DataFrame, epsilon: float, seed: i
     return Scratch(values.sparkSession, "drawn").save(simulated_aggregate(rows, epsilon, seed, tag, by), tag)
 
 
+#: Cells of a run; a task expands a run at a time.
+RUN = 2**22
+
+
+def cell_runs(values: DataFrame, domains: DataFrame, seed: int, tag: str, by: list[str]) -> DataFrame:
+    """*by, run, first, cells, n, key, held (array of y, t, key): the cells 0..cells-1 of each group of ``domains``
+    (*by, cells) in runs of consecutive numbers, with the cells that any of the true ``values`` (*by, value) is in.
+
+    For domains of too many cells to write down: a row a run and an entry a value seen. Written once.
+    """
+    name = f"{seed}|{tag}"
+    true = values.groupBy(*by, F.col("value").cast("bigint").alias("y")).agg(F.count("*").alias("t"))
+    keyed = true.withColumn("run", F.floor(F.col("y") / RUN)).withColumn("key", F.xxhash64(F.lit(name), *by, "y"))
+    held = keyed.groupBy(*by, "run").agg(F.sort_array(F.collect_list(F.struct("y", "t", "key"))).alias("held"))
+    total = values.groupBy(*by).agg(F.count("*").alias("n"))  # a row a node
+    runs = domains.join(F.broadcast(total), by).withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("cells") - 1) / RUN))))
+    first = F.col("run") * RUN
+    runs = runs.select(*by, "run", first.alias("first"), F.least(F.lit(RUN), F.col("cells") - first).alias("cells"), "n", F.xxhash64(F.lit(f"{name}|run"), *by, "run").alias("key"))
+    empty = F.array().cast("array<struct<y:bigint,t:bigint,key:bigint>>")
+    return Scratch(values.sparkSession, "runs").save(runs.join(held, [*by, "run"], "left").withColumn("held", F.coalesce("held", empty)), tag)
+
+
+def _run_draws(epsilon: float, expand: bool):
+    """A function of batches of ``cell_runs``: node_id, ones, n, cells by run, or (``expand``) node_id, y, ones.
+
+    Cells with users are drawn one by one, as by ``simulated_aggregate``. All others have the one law Binomial(n, q):
+    how many of a run's cells get each value is drawn from the multinomial law, and the values are dealt to the
+    cells by a random permutation. That is the law of independent draws, and both forms agree cell for cell.
+    """
+    keep, q, step = KEEP_RATE, flip_rate(epsilon), 2**16
+
+    def law(n: int) -> tuple[list[int], list[float]]:
+        """The values in falling order of probability, and each one's probability once those before are ruled out."""
+        steps = np.log(np.arange(n, 0, -1.0)) - np.log(np.arange(1.0, n + 1)) + np.log(q) - np.log1p(-q)
+        p = np.exp(n * np.log1p(-q) + np.concatenate([[0.0], np.cumsum(steps)]))
+        order = np.argsort(-p, kind="stable")
+        order = order[p[order] > 1e-30]  # rarer than a double tells from 0 beside the others
+        rest = np.cumsum(p[order][::-1])[::-1]
+        return order.tolist(), np.minimum(p[order] / rest, 1.0).tolist()
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        laws: dict[int, tuple[list[int], list[float]]] = {}
+        for row in (r for batch in batches for r in batch.to_pylist()):
+            n, counts = row["n"], {}
+            if n not in laws:
+                laws[n] = law(n)
+            values, shares = laws[n]
+            rng, left = np.random.default_rng(row["key"] & (2**63 - 1)), row["cells"] - len(row["held"])
+            for value, share in zip(values, shares):
+                if not left:
+                    break
+                counts[value] = int(rng.binomial(left, share))
+                left -= counts[value]
+            held = []
+            for one in row["held"]:
+                own = np.random.default_rng(one["key"] & (2**63 - 1))
+                held.append(int(own.binomial(one["t"], keep) + own.binomial(n - one["t"], q)))
+            if not expand:
+                for value in held:
+                    counts[value] = counts.get(value, 0) + 1
+                found = [(value, c) for value, c in counts.items() if c]
+                yield pa.RecordBatch.from_pydict({
+                    "node_id": pa.array([row["node_id"]] * len(found), pa.int32()), "ones": pa.array([v for v, _ in found], pa.int64()),
+                    "n": pa.array([n] * len(found), pa.int64()), "cells": pa.array([c for _, c in found], pa.int64()),
+                })
+                continue
+            ones, at = np.empty(row["cells"], np.int64), np.array([one["y"] - row["first"] for one in row["held"]], np.int64)
+            free = np.ones(row["cells"], bool)
+            free[at] = False
+            ones[at] = held
+            ones[free] = rng.permutation(np.repeat(np.array(list(counts), np.int64), list(counts.values())))
+            for i in range(0, len(ones), step):
+                part = ones[i : i + step]
+                yield pa.RecordBatch.from_pydict({
+                    "node_id": pa.array(np.full(len(part), row["node_id"], np.int32)), "y": pa.array(np.arange(i, i + len(part), dtype=np.int64) + row["first"]), "ones": pa.array(part),
+                })
+
+    return drawn
+
+
+def _dealt(runs: DataFrame) -> DataFrame:
+    """The runs over all tasks, however few bytes they are."""
+    return runs.repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+
+
+def run_histogram(runs: DataFrame, epsilon: float) -> DataFrame:
+    """node_id, ones, n, cells, est_count, est_freq: how many of a node's cells have each estimate."""
+    counted = _dealt(runs).mapInArrow(_run_draws(epsilon, False), "node_id int, ones bigint, n bigint, cells bigint")
+    count = debiased(F.col("ones"), F.col("n"), epsilon)
+    return counted.groupBy("node_id", "ones", "n").agg(F.sum("cells").alias("cells")).withColumn("est_count", count).withColumn("est_freq", count / F.col("n"))
+
+
+def run_cells(runs: DataFrame, epsilon: float) -> DataFrame:
+    """node_id, y, ones: a row for every cell."""
+    return _dealt(runs).mapInArrow(_run_draws(epsilon, True), "node_id int, y bigint, ones bigint")
+
+
+def smooth_histogram(estimates: DataFrame, column: str, total: Column, by: list[str], mode: str = "clip") -> DataFrame:
+    """``smooth`` of estimates that stand for ``cells`` cells each: one that depends on the estimate alone."""
+    group, value = Window.partitionBy(*by), F.col(column)
+    if mode == "none":
+        return estimates
+    if mode == "clip":
+        at_least = F.greatest(value, F.lit(0.0))
+        whole = F.sum(at_least * F.col("cells")).over(group)
+        return estimates.withColumn(column, F.when(whole > 0, at_least * total / whole).otherwise(F.lit(0.0)))
+    if mode == "normsub":
+        down = group.orderBy(F.desc(column))  # a row a value
+        upto = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        shift = (F.sum(value * F.col("cells")).over(upto) - total) / F.sum("cells").over(upto)
+        ranked = estimates.withColumn("__shift", shift).withColumn("__k", F.row_number().over(down))
+        used = F.max(F.when(value > F.col("__shift"), F.struct(F.col("__k").alias("k"), F.col("__shift").alias("s")))).over(group)
+        return ranked.withColumn("__used", used).withColumn(column, F.greatest(value - F.col("__used.s"), F.lit(0.0))).drop("__shift", "__k", "__used")
+    raise ValueError(f"unknown smoothing {mode!r}")
+
+
 def smooth(estimates: DataFrame, column: str, total: Column, by: list[str], mode: str = "clip") -> DataFrame:
     """Post-process an estimate in place: ``none``; ``clip`` at 0, then rescale to ``total``; ``normsub``: subtract
     the one constant that, after clipping, gives the total."""
@@ -184,26 +300,43 @@ def node_users(cohort: DataFrame, nodes: DataFrame) -> DataFrame:
     return cohort.where("role = 'tree'").join(F.broadcast(nodes.select("node_id", "block_id")), "block_id").select("node_id", "uid", "pos", "block_size")
 
 
-def in_node(pairs: DataFrame, users: DataFrame, node_items: DataFrame) -> DataFrame:
-    """node_id, uid, item, local_id: the users' items inside their node."""
-    return pairs.join(users.select("node_id", "uid"), "uid").join(F.broadcast(node_items), ["node_id", "item"]).select("node_id", "uid", "item", "local_id")
+def in_node(pairs: DataFrame, users: DataFrame, node_items: DataFrame, config: Config | None = None) -> DataFrame:
+    """node_id, uid, item, local_id: the users' items inside their node. Items of domains with drawn aggregates aren't broadcast."""
+    named = node_items if config is not None and config.draws == "aggregate" else F.broadcast(node_items)
+    return pairs.join(users.select("node_id", "uid"), "uid").join(named, ["node_id", "item"]).select("node_id", "uid", "item", "local_id")
+
+
+def pair_values(pairs: DataFrame, users: DataFrame, node_items: DataFrame, sizes: DataFrame, config: Config) -> DataFrame:
+    """node_id, uid, size, value: the number of the pair that each of a node's users draws, 0 for none."""
+    sampled = sample_pair(in_node(pairs, users, node_items, config), config.seed, "pair_sample", ["node_id", "uid"], "local_id")
+    everyone = users.select("node_id", "uid").join(sampled, ["node_id", "uid"], "left").join(F.broadcast(sizes), "node_id")
+    return everyone.select("node_id", "uid", "size", pair_id(F.col("a"), F.col("b"), F.col("size")).alias("value"))
+
+
+def pair_runs(pairs: DataFrame, users: DataFrame, node_items: DataFrame, sizes: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    """(runs, histogram) of drawn pair estimates: ``cell_runs``, and node_id, ones, freq, cells, n with the smoothed frequency."""
+    values = pair_values(pairs, users, node_items, sizes, config)
+    domains = sizes.select("node_id", (_pairs_before(F.col("size") - 1, F.col("size")) + 1).alias("cells"))
+    runs = cell_runs(values, domains, config.seed, "pair_drawn", ["node_id"])
+    made = smooth_histogram(run_histogram(runs, config.report_epsilon), "est_freq", F.lit(1.0), ["node_id"], config.smooth)
+    made = Scratch(pairs.sparkSession, "drawn").save(made, "pair_histogram")
+    return runs, made.select("node_id", "ones", F.col("est_freq").alias("freq"), "cells", "n")
 
 
 def pair_frequencies(pairs: DataFrame, users: DataFrame, node_items: DataFrame, sizes: DataFrame, config: Config) -> DataFrame:
     """node_id, a, b (local ids, a < b; null: fewer than two items), freq: co-occurrence inside each node by OUE
     over 1 + K(K-1)/2 categories. Keys are the pairs themselves, found from their numbers without a table of pairs."""
     epsilon, seed = config.report_epsilon, config.seed
-    sampled = sample_pair(in_node(pairs, users, node_items), seed, "pair_sample", ["node_id", "uid"], "local_id")
-    everyone = users.select("node_id", "uid").join(sampled, ["node_id", "uid"], "left").join(F.broadcast(sizes), "node_id")
-    values = everyone.select("node_id", "uid", "size", pair_id(F.col("a"), F.col("b"), F.col("size")).alias("value"))
-    every_pair = F.sequence(F.lit(0).cast("bigint"), _pairs_before(F.col("size") - 1, F.col("size")))
     if config.draws == "aggregate":
-        made = drawn_aggregate(values, sizes.select("node_id", F.explode(every_pair).alias("y")), epsilon, seed, "pair_drawn", ["node_id"])
+        runs, made = pair_runs(pairs, users, node_items, sizes, config)
+        made = run_cells(runs, epsilon).join(F.broadcast(made.select("node_id", "ones", F.col("freq").alias("est_freq"))), ["node_id", "ones"])
     else:
+        values = pair_values(pairs, users, node_items, sizes, config)
+        every_pair = F.sequence(F.lit(0).cast("bigint"), _pairs_before(F.col("size") - 1, F.col("size")))
         wide = values.select("node_id", "uid", "value", F.explode(every_pair).alias("y"))
         bits = wide.withColumn("bit", reported(F.col("value"), F.col("y"), epsilon, uniform(seed, "pair_bits", "node_id", "uid", "y")))
-        made = aggregate(bits, epsilon, ["node_id"])
-    made = smooth(made, "est_freq", F.lit(1.0), ["node_id"], config.smooth).join(F.broadcast(sizes), "node_id")
+        made = smooth(aggregate(bits, epsilon, ["node_id"]), "est_freq", F.lit(1.0), ["node_id"], config.smooth)
+    made = made.join(F.broadcast(sizes), "node_id")
     a, b = pair_of(F.col("y"), F.col("size"))
     return made.select("node_id", a.alias("a"), b.alias("b"), F.col("est_freq").alias("freq"))
 
@@ -244,7 +377,7 @@ def intersection_histogram(pairs: DataFrame, users: DataFrame, node_items: DataF
     """node_id, k (0..K), freq: how many of the node's items users hold, by direct OUE over the counts; clipped at 0
     and normalised. ``users`` are the node's first half."""
     epsilon, seed = config.report_epsilon, config.seed
-    held = in_node(pairs, users, node_items).groupBy("node_id", "uid").agg(F.count("*").alias("k"))
+    held = in_node(pairs, users, node_items, config).groupBy("node_id", "uid").agg(F.count("*").alias("k"))
     values = users.select("node_id", "uid").join(held, ["node_id", "uid"], "left").join(F.broadcast(sizes), "node_id")
     values = values.select("node_id", "uid", "size", F.coalesce("k", F.lit(0)).alias("value"))
     if config.draws == "aggregate":

@@ -342,3 +342,61 @@ def test_user_signatures_are_not_shuffled_by_hash(spark):
     plan = catalog.h4_batch_user_signatures(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     rows = [line for line in plan.split("\n") if "Generate" in line or "Exchange" in line or "Sort " in line]
     assert "Generate" in rows[0] and sum("Generate" in line for line in rows) == 1
+
+
+def test_runs_of_cells_have_the_law_of_single_draws(spark, monkeypatch):
+    """Every cell once, also in several runs; its rows and the histogram are the same draws; law and smoothing are those of single cells."""
+    monkeypatch.setattr(oue, "RUN", 1000)
+    n, cells, epsilon = 400, 20_500, 2.0
+    q = flip_rate(epsilon)
+    values = spark.range(n).select(F.lit(3).alias("node_id"), F.when(F.col("id") < 300, 20_000).otherwise(F.col("id") % 50 * 400).alias("value"))
+    domains = spark.createDataFrame([(3, cells), (4, 10)], "node_id int, cells bigint")  # nobody is in node 4
+    runs = oue.cell_runs(values, domains, 7, "test", ["node_id"])
+    assert runs.count() == 21
+    rows = sorted((r["node_id"], r["y"], r["ones"]) for r in oue.run_cells(runs, epsilon).collect())
+    assert [r[:2] for r in rows] == [(3, y) for y in range(cells)]
+    hist = oue.run_histogram(runs, epsilon)
+    counted = {}
+    for _, _, ones in rows:
+        counted[ones] = counted.get(ones, 0) + 1
+    assert {r["ones"]: r["cells"] for r in hist.collect()} == counted and {r["n"] for r in hist.collect()} == {n}
+    ones = np.array([r[2] for r in rows])
+    true = {r["value"]: r["c"] for r in values.groupBy("value").agg(F.count("*").alias("c")).collect()}
+    free = ones[[y not in true for y in range(cells)]]
+    spread = math.sqrt(n * q * (1 - q))
+    assert abs(free.mean() - n * q) < 4 * spread / math.sqrt(len(free)) and abs(free.var() / spread**2 - 1) < 0.06
+    assert abs(np.corrcoef(free[:-1], free[1:])[0, 1]) < 4 / math.sqrt(len(free))
+    assert abs(ones[20_000] - 150 - (n - 300) * q) < 5 * math.sqrt(75 + 100 * q)
+    again = oue.cell_runs(values.repartition(5), domains.repartition(3), 7, "test", ["node_id"])
+    assert sorted((r["node_id"], r["y"], r["ones"]) for r in oue.run_cells(again, epsilon).collect()) == rows
+    wide = hist.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("cells").cast("int")))).drop("i")
+    for mode in ("none", "clip", "normsub"):
+        single = {r["ones"]: r["est_freq"] for r in oue.smooth(wide, "est_freq", F.lit(1.0), ["node_id"], mode).collect()}
+        assert {r["ones"]: r["est_freq"] for r in oue.smooth_histogram(hist, "est_freq", F.lit(1.0), ["node_id"], mode).collect()} == pytest.approx(single)
+
+
+def test_pairs_of_a_hundred_thousand_items_are_all_estimated(spark):
+    """More cells than an array holds."""
+    size = 100_000
+    items = spark.range(size).select(F.lit(0).alias("node_id"), F.col("id").cast("int").alias("item"), F.col("id").cast("int").alias("local_id"))
+    users = spark.range(40).select(F.lit(0).alias("node_id"), F.col("id").alias("uid"))
+    pairs = users.select("uid", F.explode(F.array(*[(F.col("uid") * 997 * k % size).cast("int") for k in (1, 2)])).alias("item")).distinct()
+    sizes = spark.createDataFrame([(0, size)], "node_id int, size int")
+    _, made = oue.pair_runs(pairs, users, items, sizes, Config(epsilon=5.0, draws="aggregate"))
+    got = made.agg(F.sum("cells").alias("c"), F.sum(F.col("freq") * F.col("cells")).alias("f"), F.max("n").alias("n")).first()
+    assert got["c"] == 1 + size * (size - 1) // 2 and got["f"] == pytest.approx(1) and got["n"] == 40
+
+
+def test_drawn_pair_frequencies_are_counted_by_their_histogram(spark):
+    items = spark.range(40).select(F.lit(0).alias("node_id"), F.col("id").cast("int").alias("item"), F.col("id").cast("int").alias("local_id"))
+    users = spark.range(200).select(F.lit(0).alias("node_id"), F.col("id").alias("uid"))
+    pairs = users.select("uid", F.explode(F.array(F.lit(3), F.lit(5), (F.col("uid") % 40).cast("int"))).alias("item")).distinct()
+    sizes, config = spark.createDataFrame([(0, 40)], "node_id int, size int"), Config(epsilon=5.0, draws="aggregate")
+    rows = oue.pair_frequencies(pairs, users, items, sizes, config).collect()
+    assert {(r["a"], r["b"]) for r in rows} == {(a, b) for b in range(40) for a in range(b)} | {(None, None)} and len(rows) == 781
+    assert max(rows, key=lambda r: r["freq"])[1:3] == (3, 5) and sum(r["freq"] for r in rows) == pytest.approx(1)
+    counted = {}
+    for r in rows:
+        counted[round(r["freq"], 9)] = counted.get(round(r["freq"], 9), 0) + 1
+    made = oue.pair_runs(pairs, users, items, sizes, config)[1].groupBy(F.round("freq", 9).alias("f")).agg(F.sum("cells").alias("c")).collect()
+    assert {r["f"]: r["c"] for r in made} == counted
