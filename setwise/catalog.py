@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,7 +43,7 @@ class Fixture:
     by each of them.
     """
 
-    STORED = ("pairs", "cohort", "hist", "pair_freq", "oue_hist", "winners", "bins", "minhash_hist", "cross", "asked", "alpha")
+    STORED = ("pairs", "queries", "cohort", "node_items", "sizes", "hist", "pair_freq", "oue_hist", "winners", "bins", "minhash_hist", "cross", "asked", "alpha")
 
     def __init__(self, spark: SparkSession, sf_dir: str, stored: bool = False, config: Config = CONFIG):
         self.spark, self.sf_dir, self.config = spark, sf_dir, config
@@ -62,12 +62,28 @@ class Fixture:
     #: Made of no report, so the same at every epsilon.
     EXACT = ("pairs", "cohort", "queries", "users", "static", "nodes", "node_items", "sizes", "node_users", "first", "second", "leaves", "selected", "asked")
 
-    def at_epsilon(self, epsilon: float) -> Fixture:
-        """The same baskets and partition with reports of another epsilon; exact tables are shared."""
-        other = Fixture.__new__(Fixture)
+    def at_epsilons(self, epsilons: Iterable[float]) -> dict[float, Fixture]:
+        """The same baskets and partition with reports of other epsilons. Exact tables are shared, and every report is
+        drawn once: each epsilon's estimates and winners are rows of stored tables."""
+        configs = {e: replace(self.config, epsilon=e) for e in epsilons}
+        grid = sorted({c.report_epsilon for c in configs.values()})
         shared = {name: getattr(self, name) for name in self.EXACT}
-        other.__dict__ |= self.__dict__ | {"config": replace(self.config, epsilon=epsilon), "_made": shared}
-        return other
+        rows = {
+            "hist": oue.noisy_histogram(self.pairs, self.cohort, 25, self.config, grid),
+            "pair_freq": oue.pair_frequencies(self.pairs, self.node_users, self.node_items, self.sizes, self.config, grid),
+            "oue_hist": oue.intersection_histogram(self.pairs, self.first, self.node_items, self.sizes, self.config, grid),
+            "cross": oue.cross_node_frequencies(self.pairs, self.cohort, self.leaves, self.config, grid),
+        }
+        stored = {name: self.scratch.save(df, f"{name}-grid") for name, df in rows.items()}
+        most = max(configs.values(), key=lambda c: c.hash_choices)
+        winners = self.scratch.save(minhash.node_signatures(self.pairs, self.second, self.node_items, most), "winners-grid")
+        out = {}
+        for e, config in configs.items():
+            made = {name: df.where(F.col("epsilon") == config.report_epsilon).drop("epsilon") for name, df in stored.items()}
+            made["winners"] = winners.where(F.col("choice") < config.hash_choices)
+            out[e] = Fixture.__new__(Fixture)
+            out[e].__dict__ |= self.__dict__ | {"config": config, "_made": shared | made}
+        return out
 
     def _queries(self):
         return tables.default_queries(self.spark, self.items)
@@ -135,7 +151,7 @@ class Fixture:
         return local.select("node_id", "local_id", (F.col("position") - 1).alias("position"))
 
     def _build(self):
-        return tree.Build(self.config, self.users.count(), 0, self.hist, self.nodes, self.node_items, self.sizes, self.pair_freq, self.oue_hist, self.minhash_hist, self.winners, self.bins, self.cross)
+        return tree.Build(self.config, self.cohort.count(), 0, self.hist, self.nodes, self.node_items, self.sizes, self.pair_freq, self.oue_hist, self.minhash_hist, self.winners, self.bins, self.cross)
 
     def _selected(self):
         return answer.select_nodes(self.queries, self.node_items, self.nodes, 2)
@@ -246,9 +262,10 @@ def _sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     if key not in _swept:
         base = Fixture(spark, sf_dir, stored=True)
         truth = base.scratch.save(exact.overlap_counts(base.pairs, base.queries), "truth")
+        fixtures = base.at_epsilons(EPSILON_GRID)
 
         def one(epsilon: float) -> DataFrame:
-            f = base.at_epsilon(epsilon)
+            f = fixtures[epsilon]
             got = answer.answers(f.build, f.queries).join(truth.select("qid", "true_count", "users"), "qid")
             return base.scratch.save(got.select("qid", "true_count", "users", exact.estimated_count(F.col("f_hat"), F.col("users")).alias("est_count")), "swept")
 
@@ -413,7 +430,7 @@ def h1_rank_table(spark, sf_dir):
 
 @register(sql("select node_id, uid, ell, winner from winners"))
 def h2_user_signatures(spark, sf_dir):
-    return Fixture(spark, sf_dir).winners
+    return Fixture(spark, sf_dir).winners.drop("choice")
 
 
 @register(sql(f"select node_id, ell, target, (('0x' || substr({digest_sql(SEED, 'out', 'ell', 'target')}, 1, 8))::bigint % 16) as bucket from node_sig"))
@@ -444,7 +461,7 @@ def h5_query_signatures(spark, sf_dir):
 
 @register(sql("select node_id, uid, ell from chosen"))
 def h7_hash_choice(spark, sf_dir):
-    return minhash.chosen_hashes(Fixture(spark, sf_dir).second, CONFIG)
+    return minhash.chosen_hashes(Fixture(spark, sf_dir).second, CONFIG).drop("choice")
 
 
 @register(sql(f"select node_id, uid, ell, target, ({uniform_sql(SEED, 'hash_bits', 'node_id', 'uid', 'ell', 'target')} < case when winner = target then 0.5 else {QH!r} end)::int as bit from winners join node_sig using (node_id, ell)"))

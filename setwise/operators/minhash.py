@@ -93,13 +93,13 @@ def hashed_output_blake(things: DataFrame, seed: int, size: int) -> DataFrame:
 
 
 def chosen_hashes(users: DataFrame, config: Config) -> DataFrame:
-    """node_id, uid, ell: the hash functions each user reports on, those with the least digests.
+    """node_id, uid, choice, ell: the hash functions each user reports on, those with the least digests, numbered from 0.
 
     A user draws ``hash_choices`` distinct numbers; only these signatures are ever computed.
     """
     order = F.transform(F.sequence(F.lit(0), F.lit(config.hashes - 1)), lambda e: F.struct(digest(config.seed, "hash_choice", "node_id", "uid", e).alias("d"), e.alias("e")))
     picked = F.slice(F.array_sort(order), 1, config.hash_choices)
-    return users.select("node_id", "uid", F.explode(F.transform(picked, lambda x: x["e"])).alias("ell"))
+    return users.select("node_id", "uid", F.posexplode(F.transform(picked, lambda x: x["e"])).alias("choice", "ell"))
 
 
 def localized(pairs: DataFrame, users: DataFrame, node_items: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -109,13 +109,13 @@ def localized(pairs: DataFrame, users: DataFrame, node_items: DataFrame, sizes:
 
 
 def node_signatures(pairs: DataFrame, users: DataFrame, node_items: DataFrame, config: Config) -> DataFrame:
-    """node_id, uid, ell, winner (local id) at the chosen hashes; users without an item of the node don't report.
+    """node_id, uid, choice, ell, winner (local id) at the chosen hashes; users without an item of the node don't report.
 
-    Winners are taken among the node's items.
+    Winners are taken among the node's items. Fewer choices are the first of more: those of a smaller epsilon are here too.
     """
     inside = in_node(pairs, users, node_items).select("node_id", "uid", "local_id")
     wide = inside.join(chosen_hashes(users, config), ["node_id", "uid"])
-    return wide.groupBy("node_id", "uid", "ell").agg(F.min_by("local_id", rank_of(config.seed, "ell", "local_id")).alias("winner"))
+    return wide.groupBy("node_id", "uid", "choice", "ell").agg(F.min_by("local_id", rank_of(config.seed, "ell", "local_id")).alias("winner"))
 
 
 def set_signatures(sets: DataFrame, by: list[str], config: Config) -> DataFrame:

@@ -6,7 +6,7 @@ set with probability q = 1/(e^eps + 1). Counts are debiased by (ones - n q) / (1
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +108,22 @@ def aggregate(bits: DataFrame, epsilon: float, by: list[str], y: list[str] | Non
     return summed.withColumn("est_count", count).withColumn("est_freq", count / F.col("n"))
 
 
+def aggregate_grid(wide: DataFrame, hit: Column, draw: Column, epsilons: Sequence[float], by: list[str], y: list[str] | None = None) -> DataFrame:
+    """epsilon, *by, *y, ones, n, est_count, est_freq: ``aggregate`` at each report epsilon, each bit's draw made once.
+
+    ``wide``: *by, *y, a row a bit; ``hit``: whether it is the true one. A draw is the same at every epsilon; only the
+    rate it is held against is not.
+    """
+    y = y or ["y"]
+    drawn = wide.select(*by, *y, hit.alias("__hit"), draw.alias("__u"))
+    ones = [F.count_if(F.col("__u") < F.when(F.col("__hit"), F.lit(KEEP_RATE)).otherwise(F.lit(flip_rate(e)))).alias(f"__{i}") for i, e in enumerate(epsilons)]
+    summed = drawn.groupBy(*by, *y).agg(F.count("*").alias("n"), *ones)
+    each = F.explode(F.array(*[F.struct(F.lit(float(e)).alias("epsilon"), F.lit(flip_rate(e)).alias("q"), F.col(f"__{i}").alias("ones")) for i, e in enumerate(epsilons)]))
+    rows = summed.select(*by, *y, "n", each.alias("__e")).select("__e.*", *by, *y, "n")
+    count = (F.col("ones") - F.col("n") * F.col("q")) / (F.lit(KEEP_RATE) - F.col("q"))
+    return rows.withColumn("est_count", count).withColumn("est_freq", count / F.col("n")).drop("q")
+
+
 def simulated_aggregate(true_counts: DataFrame, epsilon: float, seed: int, tag: str, by: list[str]) -> DataFrame:
     """The same columns drawn directly: ones ~ Binomial(t, 1/2) + Binomial(n - t, q). ``true_counts``: *by, y, t, n.
 
@@ -283,11 +299,19 @@ def smooth(estimates: DataFrame, column: str, total: Column, by: list[str], mode
 # estimates of the private build
 
 
-def noisy_histogram(pairs: DataFrame, cohort: DataFrame, domain: int, config: Config) -> DataFrame:
+# With ``epsilons`` the estimates below come for each of these report epsilons, in a column ``epsilon``, from single
+# reports whose bits are drawn once.
+
+
+def noisy_histogram(pairs: DataFrame, cohort: DataFrame, domain: int, config: Config, epsilons: Sequence[float] | None = None) -> DataFrame:
     """item, noisy_count over the underlying users: one sampled item each, reported with the report's epsilon."""
     epsilon, seed = config.report_epsilon, config.seed
     under = pairs.join(cohort.where("role = 'underlying'").select("uid"), "uid", "left_semi")
     values = sample_item(under, seed).withColumnRenamed("item", "value")
+    if epsilons is not None:
+        wide = values.withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(domain - 1).cast("bigint"))))
+        made = aggregate_grid(wide, F.col("value") == F.col("y"), uniform(seed, "item_bits", "uid", "y"), epsilons, [])
+        return smooth(made, "est_count", F.col("n"), ["epsilon"], config.smooth).select("epsilon", F.col("y").cast("int").alias("item"), F.col("est_count").alias("noisy_count"), "n")
     if config.draws == "aggregate":
         made = drawn_aggregate(values, pairs.sparkSession.range(domain).withColumnRenamed("id", "y"), epsilon, seed, "item_drawn", [])
     else:
@@ -323,35 +347,40 @@ def pair_runs(pairs: DataFrame, users: DataFrame, node_items: DataFrame, sizes:
     return runs, made.select("node_id", "ones", F.col("est_freq").alias("freq"), "cells", "n")
 
 
-def pair_frequencies(pairs: DataFrame, users: DataFrame, node_items: DataFrame, sizes: DataFrame, config: Config) -> DataFrame:
+def pair_frequencies(pairs: DataFrame, users: DataFrame, node_items: DataFrame, sizes: DataFrame, config: Config, epsilons: Sequence[float] | None = None) -> DataFrame:
     """node_id, a, b (local ids, a < b; null: fewer than two items), freq: co-occurrence inside each node by OUE
     over 1 + K(K-1)/2 categories. Keys are the pairs themselves, found from their numbers without a table of pairs."""
-    epsilon, seed = config.report_epsilon, config.seed
-    if config.draws == "aggregate":
+    epsilon, seed, of = config.report_epsilon, config.seed, [] if epsilons is None else ["epsilon"]
+    if config.draws == "aggregate" and epsilons is None:
         runs, made = pair_runs(pairs, users, node_items, sizes, config)
         made = run_cells(runs, epsilon).join(F.broadcast(made.select("node_id", "ones", F.col("freq").alias("est_freq"))), ["node_id", "ones"])
     else:
         values = pair_values(pairs, users, node_items, sizes, config)
         every_pair = F.sequence(F.lit(0).cast("bigint"), _pairs_before(F.col("size") - 1, F.col("size")))
         wide = values.select("node_id", "uid", "value", F.explode(every_pair).alias("y"))
-        bits = wide.withColumn("bit", reported(F.col("value"), F.col("y"), epsilon, uniform(seed, "pair_bits", "node_id", "uid", "y")))
-        made = smooth(aggregate(bits, epsilon, ["node_id"]), "est_freq", F.lit(1.0), ["node_id"], config.smooth)
+        draw = uniform(seed, "pair_bits", "node_id", "uid", "y")
+        if epsilons is None:
+            made = aggregate(wide.withColumn("bit", reported(F.col("value"), F.col("y"), epsilon, draw)), epsilon, ["node_id"])
+        else:
+            made = aggregate_grid(wide, F.col("value") == F.col("y"), draw, epsilons, ["node_id"])
+        made = smooth(made, "est_freq", F.lit(1.0), [*of, "node_id"], config.smooth)
     made = made.join(F.broadcast(sizes), "node_id")
     a, b = pair_of(F.col("y"), F.col("size"))
-    return made.select("node_id", a.alias("a"), b.alias("b"), F.col("est_freq").alias("freq"))
+    return made.select(*of, "node_id", a.alias("a"), b.alias("b"), F.col("est_freq").alias("freq"))
 
 
-def cross_node_frequencies(pairs: DataFrame, cohort: DataFrame, leaves: DataFrame, config: Config) -> DataFrame:
+def cross_node_frequencies(pairs: DataFrame, cohort: DataFrame, leaves: DataFrame, config: Config, epsilons: Sequence[float] | None = None) -> DataFrame:
     """node_i, node_j (i < j), freq > 0: two of the leaves each underlying user touches, reported over the square
     of leaves and "no pair" (index L). ``leaves``: node_id, item, leaf (dense from 0)."""
-    estimates = leaf_pair_estimates(pairs, cohort, leaves, config)
-    made = smooth(estimates, "est_freq", F.lit(1.0), [], config.smooth)
+    of = [] if epsilons is None else ["epsilon"]
+    estimates = leaf_pair_estimates(pairs, cohort, leaves, config, epsilons)
+    made = smooth(estimates, "est_freq", F.lit(1.0), of, config.smooth)
     named = leaves.select("leaf", "node_id").distinct()
     one, two = (named.select(F.col("leaf").alias(k), F.col("node_id").alias(f"node_{k}")) for k in "ij")
-    return made.where((F.col("i") < F.col("j")) & (F.col("est_freq") > 0)).join(F.broadcast(one), "i").join(F.broadcast(two), "j").select("node_i", "node_j", F.col("est_freq").alias("freq"))
+    return made.where((F.col("i") < F.col("j")) & (F.col("est_freq") > 0)).join(F.broadcast(one), "i").join(F.broadcast(two), "j").select(*of, "node_i", "node_j", F.col("est_freq").alias("freq"))
 
 
-def leaf_pair_estimates(pairs: DataFrame, cohort: DataFrame, leaves: DataFrame, config: Config) -> DataFrame:
+def leaf_pair_estimates(pairs: DataFrame, cohort: DataFrame, leaves: DataFrame, config: Config, epsilons: Sequence[float] | None = None) -> DataFrame:
     """i, j, ones, n, est_count, est_freq over the square of 0..L."""
     epsilon, seed = config.report_epsilon, config.seed
     under = cohort.where("role = 'underlying'").select("uid")
@@ -361,7 +390,7 @@ def leaf_pair_estimates(pairs: DataFrame, cohort: DataFrame, leaves: DataFrame,
     everyone = under.join(drawn, "uid", "left").join(F.broadcast(count))
     values = everyone.select("uid", "l", F.coalesce("a", "l").alias("vi"), F.coalesce("b", "l").alias("vj"))
     every = F.explode(F.sequence(F.lit(0), F.col("l")))
-    if config.draws == "aggregate":
+    if config.draws == "aggregate" and epsilons is None:
         side = F.col("l") + 1
         cells = count.withColumn("y", F.explode(F.sequence(F.lit(0), side * side - 1)))
         made = drawn_aggregate(values.select((F.col("vi") * side + F.col("vj")).alias("value")), cells, epsilon, seed, "node_pair_drawn", []).join(F.broadcast(count))
@@ -369,23 +398,29 @@ def leaf_pair_estimates(pairs: DataFrame, cohort: DataFrame, leaves: DataFrame,
     grid = values.withColumn("i", every).withColumn("j", every)
     hit = (F.col("i") == F.col("vi")) & (F.col("j") == F.col("vj"))
     draw = uniform(seed, "node_pair_bits", "uid", "i", "j")
+    if epsilons is not None:
+        return aggregate_grid(grid, hit, draw, epsilons, [], ["i", "j"])
     bits = grid.withColumn("bit", (draw < F.when(hit, F.lit(KEEP_RATE)).otherwise(F.lit(flip_rate(epsilon)))).cast("int"))
     return aggregate(bits, epsilon, [], ["i", "j"])
 
 
-def intersection_histogram(pairs: DataFrame, users: DataFrame, node_items: DataFrame, sizes: DataFrame, config: Config) -> DataFrame:
+def intersection_histogram(pairs: DataFrame, users: DataFrame, node_items: DataFrame, sizes: DataFrame, config: Config, epsilons: Sequence[float] | None = None) -> DataFrame:
     """node_id, k (0..K), freq: how many of the node's items users hold, by direct OUE over the counts; clipped at 0
     and normalised. ``users`` are the node's first half."""
     epsilon, seed = config.report_epsilon, config.seed
     held = in_node(pairs, users, node_items, config).groupBy("node_id", "uid").agg(F.count("*").alias("k"))
     values = users.select("node_id", "uid").join(held, ["node_id", "uid"], "left").join(F.broadcast(sizes), "node_id")
     values = values.select("node_id", "uid", "size", F.coalesce("k", F.lit(0)).alias("value"))
-    if config.draws == "aggregate":
+    of = [] if epsilons is None else ["epsilon"]
+    if epsilons is not None:
+        wide = values.withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size").cast("bigint"))))
+        made = aggregate_grid(wide, F.col("value") == F.col("y"), uniform(seed, "size_bits", "node_id", "uid", "y"), epsilons, ["node_id"])
+    elif config.draws == "aggregate":
         made = drawn_aggregate(values, sizes.select("node_id", F.explode(F.sequence(F.lit(0), F.col("size"))).alias("y")), epsilon, seed, "size_drawn", ["node_id"])
     else:
         bits = reports(values.withColumn("__d", F.col("size") + 1), F.col("__d"), epsilon, seed, "size_bits", ["node_id", "uid"])
         made = aggregate(bits, epsilon, ["node_id"])
-    return smooth(made, "est_freq", F.lit(1.0), ["node_id"], "clip").select("node_id", F.col("y").cast("int").alias("k"), F.col("est_freq").alias("freq"), "n")
+    return smooth(made, "est_freq", F.lit(1.0), [*of, "node_id"], "clip").select(*of, "node_id", F.col("y").cast("int").alias("k"), F.col("est_freq").alias("freq"), "n")
 
 
 def first_half(users: DataFrame, share: float = 0.5) -> DataFrame:

@@ -400,3 +400,21 @@ def test_drawn_pair_frequencies_are_counted_by_their_histogram(spark):
         counted[round(r["freq"], 9)] = counted.get(round(r["freq"], 9), 0) + 1
     made = oue.pair_runs(pairs, users, items, sizes, config)[1].groupBy(F.round("freq", 9).alias("f")).agg(F.sum("cells").alias("c")).collect()
     assert {r["f"]: r["c"] for r in made} == counted
+
+
+def test_one_draw_a_bit_serves_every_epsilon(spark):
+    """The grid has what each epsilon's own reports give, and a plan of one draw; fewer hash choices are the first of more."""
+    from setwise.functions.prng import uniform
+
+    epsilons = (0.5, 2.0, 5.0)
+    values = spark.range(400).select(F.col("id").alias("uid"), (F.col("id") % 3).cast("int").alias("value"), (F.col("id") % 2).cast("int").alias("g"))
+    wide = values.withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint"))))
+    grid = oue.aggregate_grid(wide, F.col("value") == F.col("y"), uniform(7, "bits", "uid", "y"), epsilons, ["g"])
+    assert grid._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    for e in epsilons:
+        own = oue.aggregate(oue.reports(values, F.lit(6), e, 7, "bits", ["uid"]).join(values.select("uid", "g"), "uid"), e, ["g"])
+        got = grid.where(F.col("epsilon") == e).drop("epsilon").select(*own.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, own.collect())) and got.count() == 12
+    users = values.select(F.lit(1).alias("node_id"), "uid")
+    most, few = (minhash.chosen_hashes(users, Config(epsilon=e, hashes=16)) for e in (8.0, 4.0))
+    assert sorted(map(tuple, most.where("choice < 2").collect())) == sorted(map(tuple, few.collect())) and most.count() == 1600
